@@ -118,40 +118,50 @@ def repeated(hashes: np.ndarray, bitmaps: list[np.ndarray], size: int) -> np.nda
     return keep
 
 
-ROWS = "doc bigint, _h bigint, pos int, n int, h1 bigint, h2 bigint, done boolean"
+ROWS = "doc bigint, _h bigint, pos int, n int, h2 bigint, h1 array<bigint>"
+
+
+def _runs(*same: np.ndarray) -> np.ndarray:
+    """Starts of the stretches in which all columns repeat; the last column counts up by one instead."""
+    if not len(same[-1]):
+        return np.zeros(0, np.int64)
+    cut = same[-1][1:] != same[-1][:-1] + 1
+    for c in same[:-1]:
+        cut |= c[1:] != c[:-1]
+    return np.r_[0, np.flatnonzero(cut) + 1]
 
 
 def _combined(parts: list[tuple]) -> pa.RecordBatch:
     """A batch's windows: of equal ones the earliest start goes on as a candidate, the others are known to be later ones.
 
-    So a window has no more candidates than there are batches, however often it occurs. Known ones go on as runs of starts
-    under keys of their own.
+    So a window has no more candidates than there are batches, however often it occurs. Candidates with one anchor travel together:
+    pos is the first, n is 0, h2 the anchor, h1 the hash of each. Known ones are runs of n starts under a key of their own.
     """
     doc, digest, pos, h1, h2 = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((pos, doc, h2, h1))
     s1, s2, sd, sp = h1[order], h2[order], doc[order], pos[order]
     same = np.r_[False, (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
+    firsts = np.flatnonzero(~same)[np.cumsum(~same) - 1]
     # Repeated rows of one document start at the same place: none of them is later than the other.
-    group = np.cumsum(~same) - 1
-    firsts = np.flatnonzero(~same)[group]
     later = (sd != sd[firsts]) | (sp != sp[firsts])
-    open_, done = order[~later], np.sort(order[later])
-    cut = np.r_[True, (doc[done][1:] != doc[done][:-1]) | (digest[done][1:] != digest[done][:-1]) | (pos[done][1:] != pos[done][:-1] + 1)] if len(done) else np.zeros(0, bool)
-    starts = done[cut]
-    lengths = np.diff(np.r_[np.flatnonzero(cut), len(done)])
-    spread = mixed((doc[starts].astype(np.uint64) ^ digest[starts].view(np.uint64)) + pos[starts].astype(np.uint64))
-    both = np.r_[open_, starts]
+    known, open_ = np.sort(order[later]), np.sort(order[~later])
+    cuts = _runs(doc[known], digest[known], pos[known])
+    runs = known[cuts]
+    lengths = np.diff(np.r_[cuts, len(known)])
+    spread = signed(mixed((doc[runs].astype(np.uint64) ^ digest[runs].view(np.uint64)) + pos[runs].astype(np.uint64)))
+    cuts = _runs(doc[open_], digest[open_], h2[open_], pos[open_])
+    heads = open_[cuts]
+    both = np.r_[heads, runs]
+    ends = np.r_[cuts, len(open_), len(open_) + 1 + np.arange(len(runs))].astype(np.int32)
+    hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.r_[signed(h1[open_]), spread]))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(doc[both]), pa.array(digest[both]), pa.array(pos[both].astype(np.int32)), pa.array(np.r_[np.ones(len(open_)), lengths].astype(np.int32)),
-            pa.array(np.r_[signed(h1[open_]), signed(spread)]), pa.array(np.r_[signed(h2[open_]), signed(spread)]), pa.array(np.r_[np.zeros(len(open_), bool), np.ones(len(starts), bool)]),
-        ],
-        names=["doc", "_h", "pos", "n", "h1", "h2", "done"],
-    )
+        [pa.array(doc[both]), pa.array(digest[both]), pa.array(pos[both].astype(np.int32)), pa.array(np.r_[np.zeros(len(heads)), lengths].astype(np.int32)), pa.array(np.r_[signed(h2[heads]), spread]), hashes],
+        names=["doc", "_h", "pos", "n", "h2", "h1"],
+    )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], held, window: int, anchor: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Windows that are estimated to repeat: doc, _h, pos, n (starts in the run), h1, h2, done (known to start earlier elsewhere)."""
+    """Windows that are estimated to repeat, as ``_combined`` packs them."""
     words, bitmaps, parts, n = WordHash(), held.value, [], 0
     for batch in batches:
         for doc, digest, text in zip(batch.column("doc").to_pylist(), batch.column("_h").to_pylist(), texts_of(batch), strict=True):
@@ -189,8 +199,10 @@ def later_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, si
     """doc, _h, runs: for documents with any, the starts (pos, n: n starts from pos) of windows that also start earlier."""
     held = docs.sparkSession.sparkContext.broadcast(sketch(docs, window, anchor, size))
     found = docs.select("doc", "_h", "text").mapInArrow(lambda b: _windows(b, held, window, anchor, size), ROWS)
-    first = F.min(F.struct("doc", "pos")).over(Window.partitionBy("h1", "h2"))
-    judged = found.withColumn("_first", first).filter(F.col("done") | (F.struct("doc", "pos") > F.col("_first")))
+    each = found.repartition("h2").select("doc", "_h", "pos", "n", "h2", F.posexplode("h1").alias("i", "h1")).select("doc", "_h", (F.col("pos") + F.col("i")).alias("pos"), "n", "h1", "h2")
+    # Equal windows have equal anchors: the exchange by anchor serves the window function too.
+    first = F.min(F.struct("doc", "pos")).over(Window.partitionBy("h2", "h1"))
+    judged = each.withColumn("_first", first).filter((F.col("n") > 0) | (F.struct("doc", "pos") > F.col("_first"))).withColumn("n", F.greatest("n", F.lit(1)))
     return judged.groupBy("doc", "_h").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
