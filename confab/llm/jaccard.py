@@ -121,18 +121,20 @@ def possible(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 
 KEYS = ["g", "lb", "ls", "rb", "rs"]
+#: Sides of a tile pair that a row is on.
+RIGHT, LEFT, BOTH = 0, 1, 2
 
 
 def _screened(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """g, node: nodes with a partner in the tile pair that the bitmaps let pass."""
     for t in groups(batches, KEYS):
-        node, n, left = (t.column(c).to_numpy() for c in ("node", "n", "left"))
-        sig = np.frombuffer(b"".join(t.column("load").to_pylist()), "<u8").reshape(len(node), -1)
-        side = left.astype(bool)
-        if t.num_rows < 2 or side.all() or not side.any():
+        node, n, side = (t.column(c).to_numpy() for c in ("node", "n", "side"))
+        left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
+        if t.num_rows < 2 or not len(left) or not len(right):
             continue
-        ok = possible(sig[side], sig[~side], n[side], n[~side], threshold) & (node[side][:, None] != node[~side][None, :])
-        found = np.unique(np.r_[node[side][ok.any(axis=1)], node[~side][ok.any(axis=0)]])
+        sig = np.frombuffer(b"".join(t.column("load").to_pylist()), "<u8").reshape(len(node), -1)
+        ok = possible(sig[left], sig[right], n[left], n[right], threshold) & (node[left][:, None] != node[right][None, :])
+        found = np.unique(np.r_[node[left][ok.any(axis=1)], node[right][ok.any(axis=0)]])
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t.column("g")[0].as_py())), pa.array(found)], names=["g", "node"])
 
@@ -176,19 +178,26 @@ def band(n: Column, threshold: float) -> Column:
 
 
 def tiled(members: DataFrame, threshold: float) -> DataFrame:
-    """g, node, n, ... with band and slice; a group's band has a slice for each TILE of its members or so."""
-    banded = members.withColumn("band", band(F.col("n"), threshold))
-    sizes = banded.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("slices"))
-    return banded.join(sizes, ["g", "band"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    """g, node, n, ... with band, slice and tiles; a group of up to TILE members is one tile, in a larger one each band has a slice for each TILE of its members or so."""
+    whole = members.groupBy("g").agg(F.count(F.lit(1)).alias("_all"))
+    banded = members.join(whole, "g").withColumn("band", F.when(F.col("_all") > TILE, band(F.col("n"), threshold)).otherwise(-1))
+    sizes = banded.filter(F.col("_all") > TILE).groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    sliced = banded.join(sizes, ["g", "band"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
+    return sliced.withColumn("slice", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int")).drop("_all")
 
 
 def facing(left: DataFrame, right: DataFrame, load: str) -> DataFrame:
-    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands, partitioned and sorted by pair."""
-    near = lambda tiles, name: tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s"))
+    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands, partitioned and sorted by pair.
+
+    A group of one tile comes once, from ``right``. A row's place in a pair is its side.
+    """
     cols = lambda rows: rows.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n", F.col(load).alias("load"))
-    a = cols(left).join(near(right, "r"), ["g", "at"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(1).alias("left"), "node", "n", "load")
-    b = cols(right).join(near(left, "l"), ["g", "at"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(0).alias("left"), "node", "n", "load")
-    return a.unionByName(b).repartition(*KEYS).sortWithinPartitions(*KEYS)
+    single = cols(right.filter("tiles = 0")).select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n", "load")
+    left, right = left.filter("tiles > 0"), right.filter("tiles > 0")
+    near = lambda tiles, name: tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s"))
+    a = cols(left).join(near(right, "r"), ["g", "at"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n", "load")
+    b = cols(right).join(near(left, "l"), ["g", "at"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n", "load")
+    return single.unionByName(a).unionByName(b).repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -232,8 +241,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     tight = staged(facing(loaded.filter("slice = 0"), loaded, "set").mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint"), "links")
 
     labels = components(tight)
-    multi = loaded.groupBy("g").agg(F.max("slices").alias("most")).filter("most > 1").select("g")
-    placed = loaded.select("g", "node").join(multi, "g").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
     apart = staged(placed.join(main, "g").filter("label <> main").select("g", "node"), "apart")
     if not apart.isEmpty():
