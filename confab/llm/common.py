@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,31 @@ LOCAL_SHARED = "file:///tmp/confab-shared"
 BUCKET_DIGITS = 3
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this session's executors the package, once; they may start elsewhere than in its folder."""
+    context = spark.sparkContext
+    if getattr(context, "_confab_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp()) / "confab_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._confab_shipped = True
+
+
+def shipped(f: Callable) -> Callable:
+    """``f(spark, ...)`` after ``ship(spark)``."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args, **kwargs):
+        ship(spark)
+        return f(spark, *args, **kwargs)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")

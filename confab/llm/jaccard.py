@@ -29,8 +29,8 @@ from confab.llm.texts import WordHash, bitmap, shingle_set, signed, texts_of
 
 #: Nodes of a tile.
 TILE = 256
-#: Bits of a signature for the first comparison; exact tiles size theirs by their sets.
-SIGNATURE = 1024
+#: Least bits of a signature.
+SIGNATURE = 256
 #: Documents sampled for frequent shingles, and in how many of those a shingle must occur to be one. Only the order depends on it, no link.
 SAMPLE, FREQUENT = 10_000, 4
 
@@ -58,6 +58,16 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(counts.select("s").toArrow().column("s").to_numpy().view(np.uint64))
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """A bitmap with two to four bits for each shingle, so that long sets don't fill theirs."""
+    return bitmap(own, max(SIGNATURE, 1 << int(2 * len(own) - 1).bit_length()))
+
+
+def folded(marks: np.ndarray, lanes: int) -> np.ndarray:
+    """Bitmaps (rows) as those of fewer lanes: both sizes are powers of two, so halves lie on each other."""
+    return np.bitwise_or.reduce(marks.reshape(len(marks), -1, lanes), axis=1)
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray, threshold: float) -> np.ndarray:
     size = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
     if not len(frequent):
@@ -85,7 +95,7 @@ def _listed(batches: Iterator[pa.RecordBatch], held, n: int, threshold: float) -
                 seen.add(node)
             nodes.append(node)
             sizes.append(len(own))
-            marks.append(bitmap(own, SIGNATURE).tobytes() if new else None)
+            marks.append(signature(own).tobytes() if new else None)
             prefixes.append(signed(prefix(own, held.value, threshold)) if new else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "rk", "node", "n", "sig", "prefix"])
 
@@ -132,9 +142,20 @@ def _screened(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
         if t.num_rows < 2 or not len(left) or not len(right):
             continue
-        sig = np.frombuffer(b"".join(t.column("load").to_pylist()), "<u8").reshape(len(node), -1)
-        ok = possible(sig[left], sig[right], n[left], n[right], threshold) & (node[left][:, None] != node[right][None, :])
-        found = np.unique(np.r_[node[left][ok.any(axis=1)], node[right][ok.any(axis=0)]])
+        own = t.column("load").to_pylist()
+        lanes = np.array([len(x) // 8 for x in own])
+        kept = []
+        for wide in np.unique(lanes).tolist():
+            a = left[lanes[left] == wide]
+            # Similar sets are at most twice as large, and their bitmaps too.
+            for other in (wide // 2, wide, wide * 2):
+                b = right[lanes[right] == other]
+                if len(a) and len(b):
+                    few = min(wide, other)
+                    x, y = (folded(np.frombuffer(b"".join(own[i] for i in side_), "<u8").reshape(len(side_), -1), few) for side_ in (a.tolist(), b.tolist()))
+                    ok = possible(x, y, n[a], n[b], threshold) & (node[a][:, None] != node[b][None, :])
+                    kept += [node[a][ok.any(axis=1)], node[b][ok.any(axis=0)]]
+        found = np.unique(np.concatenate(kept)) if kept else node[:0]
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t.column("g")[0].as_py())), pa.array(found)], names=["g", "node"])
 
@@ -157,7 +178,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         own = t.column("load").to_pylist()
         sets = [np.frombuffer(own[i], "<u8") for i in at.tolist()]
         n = np.array([len(s) for s in sets])
-        bits = 64 << max(2, int(2 * n.max()).bit_length() - 6)
+        bits = max(SIGNATURE, 1 << int(2 * n.max() - 1).bit_length())
         marks = np.stack([bitmap(s, bits) for s in sets])
         links, a, b = Links(len(nodes)), [], []
         for lo in range(0, len(nodes), 64):
@@ -186,18 +207,23 @@ def tiled(members: DataFrame, threshold: float) -> DataFrame:
     return sliced.withColumn("slice", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int")).drop("_all")
 
 
-def facing(left: DataFrame, right: DataFrame, load: str) -> DataFrame:
-    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands, partitioned and sorted by pair.
+def facing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands.
 
     A group of one tile comes once, from ``right``. A row's place in a pair is its side.
     """
-    cols = lambda rows: rows.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n", F.col(load).alias("load"))
-    single = cols(right.filter("tiles = 0")).select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n", "load")
+    cols = lambda rows: rows.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n")
+    single = cols(right.filter("tiles = 0")).select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n")
     left, right = left.filter("tiles > 0"), right.filter("tiles > 0")
     near = lambda tiles, name: tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s"))
-    a = cols(left).join(near(right, "r"), ["g", "at"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n", "load")
-    b = cols(right).join(near(left, "l"), ["g", "at"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n", "load")
-    return single.unionByName(a).unionByName(b).repartition(*KEYS).sortWithinPartitions(*KEYS)
+    a = cols(left).join(near(right, "r"), ["g", "at"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n")
+    b = cols(right).join(near(left, "l"), ["g", "at"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n")
+    return single.unionByName(a).unionByName(b)
+
+
+def dealt(pairs: DataFrame, loads: DataFrame) -> DataFrame:
+    """``pairs`` with their nodes' ``load`` (node, load), partitioned and sorted by tile pair; loads travel last, once for each pair they are in."""
+    return pairs.join(loads, "node").repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -220,6 +246,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
 
 def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """doc_id, rk (the doc_id, or a hash of the text where there is none), n, component_id."""
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("threshold must lie in 0.5 to 1")
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("rk"))
     held = spark.sparkContext.broadcast(frequent_shingles(docs, n))
@@ -230,15 +258,17 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     least = keyed.groupBy("s").agg(F.min("node").alias("g"), F.max("node").alias("last")).filter("g < last").select("s", "g")
     members = keyed.join(least, "s").select("g", "node").distinct()
     first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    known = staged(members.join(first, "node"), "members")
-
-    tiles = tiled(known, threshold)
-    able = staged(facing(tiles, tiles, "sig").mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint").distinct(), "able")
-    wanted = able.select("node").distinct().join(first.select("node", "rk"), "node").select("rk", F.col("node").alias("want"))
-    found = rows.join(wanted, "rk").select("text").mapInArrow(lambda b: _sets(b, n), "node bigint, set binary")
+    tiles = tiled(staged(members.join(first.select("node", "n"), "node"), "members"), threshold)
+    screened = dealt(facing(tiles, tiles), first.select("node", F.col("sig").alias("load")))
+    able = staged(screened.mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint").distinct(), "able")
+    wanted = able.select("node").distinct().join(first.select("node", "n", "rk"), "node")
+    found = rows.join(wanted.select("rk"), "rk").select("text").mapInArrow(lambda b: _sets(b, n), "node bigint, load binary")
     sets = staged(found.filter("node is not null").dropDuplicates(["node"]), "able-sets")
-    loaded = tiled(able.join(sets.withColumn("n", F.length("set") / 8), "node"), threshold)
-    tight = staged(facing(loaded.filter("slice = 0"), loaded, "set").mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint"), "links")
+    # Groups that share a node become one, so that a set travels once.
+    whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "g")
+    loaded = staged(tiled(wanted.select("node", "n").join(whole, "node"), threshold), "tiles")
+    verified = lambda left, right: dealt(facing(left, right), sets).mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint")
+    tight = staged(verified(loaded.filter("slice = 0"), loaded), "links")
 
     labels = components(tight)
     placed = loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -246,8 +276,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     apart = staged(placed.join(main, "g").filter("label <> main").select("g", "node"), "apart")
     if not apart.isEmpty():
         rest = loaded.join(apart, ["g", "node"])
-        whole = loaded.join(apart.select("g").distinct(), "g")
-        more = facing(rest, whole, "set").mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint")
+        more = verified(rest, loaded.join(apart.select("g").distinct(), "g"))
         labels = components(tight.unionByName(more))
 
     ids = listed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))

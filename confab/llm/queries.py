@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import decontaminate, jaccard, mixing, quality, repeats, secret_scan, sharding, token_count, toxicity, url_filter
+from confab.llm.common import shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_url_filter, op4_secrets, op5_token_counts, op6_toxicity, op7_mixing, op8_sharding, op9_ngram_jaccard, op10_substring_dedup)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_decontamination, op2_quality, op3_url_filter, op4_secrets, op5_token_counts, op6_toxicity, op7_mixing, op8_sharding, op9_ngram_jaccard, op10_substring_dedup)}
 
 #: Words as the contracts define them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
