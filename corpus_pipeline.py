@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from confab.llm.common import shared_folder
+from confab.llm.common import shared_folder, shipped
 from confab.llm.queries import table, training_labels
 
 SHARDS = 16
@@ -44,7 +44,13 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard(docs, SHARDS)
 
 
-STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard_join", jaccard_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("toxicity", shipped(toxicity_stage)),
+    ("ngram_jaccard_join", shipped(jaccard_stage)),
+    ("decontamination", shipped(decontamination_stage)),
+    ("mixing", shipped(mixing_stage)),
+    ("sharding", shipped(sharding_stage)),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
