@@ -5,9 +5,9 @@
    their prefixes. A node joins the group of the smallest node that it shares a prefix shingle with, so that every pair
    that could link meets in some group.
 2. Groups are cut into tiles by size band and slice. Tiles of neighbouring bands are compared through bitmaps of the
-   sets: each bit that only one side has is a shingle the other lacks, which bounds the overlap from above. Nodes without
-   a partner that passes leave.
-3. The sets of those that stay are compared exactly, first each tile with its band's first tile; nodes that this doesn't
+   sets: each bit that only one side has is a shingle the other lacks, which bounds the overlap from above. Each tile meets
+   the bands' first tiles, and nodes that pass with nobody there meet all tiles. Those without a partner then leave.
+3. The sets of those that stay are compared exactly, first each tile with the bands' first tiles; nodes that this doesn't
    connect to their group's main part are then compared with every tile. Pairs already connected are skipped: what is
    asked for is which documents are linked, not by how many links.
 """
@@ -258,9 +258,14 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     least = keyed.groupBy("s").agg(F.min("node").alias("g"), F.max("node").alias("last")).filter("g < last").select("s", "g")
     members = keyed.join(least, "s").select("g", "node").distinct()
     first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    tiles = tiled(staged(members.join(first.select("node", "n"), "node"), "members"), threshold)
-    screened = dealt(facing(tiles, tiles), first.select("node", F.col("sig").alias("load")))
-    able = staged(screened.mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint").distinct(), "able")
+    tiles = staged(tiled(members.join(first.select("node", "n"), "node"), threshold), "members")
+    sigs = first.select("node", F.col("sig").alias("load"))
+    screened = lambda left, right: dealt(facing(left, right), sigs).mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint")
+    able = staged(screened(tiles.filter("slice = 0"), tiles).distinct(), "able")
+    unmet = staged(tiles.filter("tiles > 0").join(able, ["g", "node"], "left_anti"), "unmet")
+    if not unmet.isEmpty():
+        met = screened(unmet, tiles.join(unmet.select("g").distinct(), "g"))
+        able = staged(able.unionByName(met).distinct(), "able")
     wanted = able.select("node").distinct().join(first.select("node", "n", "rk"), "node")
     found = rows.join(wanted.select("rk"), "rk").select("text").mapInArrow(lambda b: _sets(b, n), "node bigint, load binary")
     sets = staged(found.filter("node is not null").dropDuplicates(["node"]), "able-sets")
