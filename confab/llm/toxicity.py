@@ -20,7 +20,7 @@ from confab.llm.texts import CACHE, texts_of
 BUCKETS = 1 << 18
 FACTORS = 6
 #: Labelled rows that are fitted on, at most; of more, those that come first by a hash of their id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 #: Terms the machine knows: seen in so many labelled documents, and of those the most telling.
 MIN_SEEN, MAX_TERMS = 3, 4096
 #: Chi-squared (one degree of freedom) that a term's tie to the label must reach.
