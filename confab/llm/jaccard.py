@@ -2,8 +2,8 @@
 
 1. A document's sorted shingle hashes make its set; equal sets share a node. In one order of all shingles (those that a sample finds
    frequent last, else by hash) a set's first n - ceil(t n) + 1 shingles are its prefix: two sets at similarity t share a shingle of
-   their prefixes. A node joins the group of the smallest node that it shares a prefix shingle with, so that every pair
-   that could link meets in some group.
+   their prefixes. Under each shingle and size band nodes join the group of the smallest, so that every pair that could link
+   meets in some group.
 2. Groups are cut into tiles by size band and slice. Tiles of neighbouring bands are compared through bitmaps of the
    sets: each bit that only one side has is a shingle the other lacks, which bounds the overlap from above. Each tile meets
    the bands' first tiles, and nodes that pass with nobody there meet all tiles. Those without a partner then leave.
@@ -194,8 +194,8 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def band(n: Column, threshold: float) -> Column:
-    """Sets of similarity ``threshold`` lie in the same or neighbouring bands."""
-    return F.floor(F.log(n.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    """Sets of similarity ``threshold`` lie in the same or neighbouring bands; these are a little wider, against rounding."""
+    return F.floor(F.log(n.cast("double")) / max(0.01, math.log(1 / threshold) * (1 + 1e-6))).cast("int")
 
 
 def tiled(members: DataFrame, threshold: float) -> DataFrame:
@@ -254,9 +254,13 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     listed = staged(rows.mapInArrow(lambda b: _listed(b, held, n, threshold), f"doc_id {kind}, rk bigint, node bigint, n bigint, sig binary, prefix array<bigint>"), "sets")
 
-    keyed = listed.filter("prefix is not null").select("node", F.explode("prefix").alias("s"))
-    least = keyed.groupBy("s").agg(F.min("node").alias("g"), F.max("node").alias("last")).filter("g < last").select("s", "g")
-    members = keyed.join(least, "s").select("g", "node").distinct()
+    keyed = listed.filter("prefix is not null").select("node", "n", F.explode("prefix").alias("s"))
+    twice = keyed.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("s")
+    # Only shared shingles go on, under their own band and the next, so that sizes too far apart don't meet.
+    own = band(F.col("n"), threshold)
+    shared = keyed.join(twice, "s").select("node", "s", F.explode(F.array(own, own + 1)).alias("j"))
+    least = shared.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    members = shared.join(least, ["s", "j"]).select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node").distinct()
     first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     tiles = staged(tiled(members.join(first.select("node", "n"), "node"), threshold), "members")
     sigs = first.select("node", F.col("sig").alias("load"))
