@@ -31,6 +31,8 @@ from confab.llm.texts import WordHash, bitmap, shingle_set, signed, texts_of
 TILE = 256
 #: Least bits of a signature.
 SIGNATURE = 256
+#: Bits of the bitmap that picks texts for exact comparison, and of one chunk of it.
+CELLS, CHUNK = 1 << 26, 1 << 16
 #: Documents sampled for frequent shingles, and in how many of those a shingle must occur to be one. Only the order depends on it, no link.
 SAMPLE, FREQUENT = 10_000, 4
 
@@ -226,11 +228,34 @@ def dealt(pairs: DataFrame, loads: DataFrame) -> DataFrame:
     return pairs.join(loads, "node").repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, bits: a chunk's cells as a bitmap."""
+    for t in groups(batches, ["chunk"]):
+        flags = np.zeros(CHUNK, np.uint8)
+        flags[t.column("low").to_numpy()] = 1
+        yield pa.RecordBatch.from_pydict({"chunk": [t.column("chunk")[0].as_py()], "bits": [np.packbits(flags, bitorder="little").tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+
+
+def rough_members(keys: DataFrame) -> np.ndarray:
+    """A bitmap of CELLS bits (8 MB for any input) that has every key of ``keys`` (rk), and with a chance that grows with their number others."""
+    cell = F.pmod(F.xxhash64("rk"), F.lit(CELLS))
+    cells = keys.select(F.call_function("div", cell, F.lit(CHUNK)).cast("int").alias("chunk"), (cell % CHUNK).cast("int").alias("low"))
+    rows = cells.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_bits, "chunk int, bits binary").toArrow()
+    out = np.zeros(CELLS // 8, np.uint8)
+    for chunk, bits in zip(rows.column("chunk").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[chunk * (CHUNK // 8) : (chunk + 1) * (CHUNK // 8)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch], marks, n: int) -> Iterator[pa.RecordBatch]:
+    """node, load: sets of documents that the bitmap may know. Their texts stay where they are; what the bitmap got wrong goes in a join by node."""
     words = WordHash()
     for batch in batches:
-        own = [_set(words, t, n) for t in texts_of(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in own], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in own], pa.binary())], names=["node", "set"])
+        cells = batch.column("cell").to_numpy()
+        known = (marks.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
+        own = [s for t in texts_of(batch.filter(pa.array(known.astype(bool)))) if len(s := _set(words, t, n))]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in own], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in own], pa.binary())], names=["node", "load"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -254,14 +279,14 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     listed = staged(rows.mapInArrow(lambda b: _listed(b, held, n, threshold), f"doc_id {kind}, rk bigint, node bigint, n bigint, sig binary, prefix array<bigint>"), "sets")
 
-    keyed = listed.filter("prefix is not null").select("node", "n", F.explode("prefix").alias("s"))
+    keyed = listed.filter("prefix is not null").select("node", F.explode("prefix").alias("s"))
+    first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     twice = keyed.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("s")
     # Only shared shingles go on, under their own band and the next, so that sizes too far apart don't meet.
     own = band(F.col("n"), threshold)
-    shared = keyed.join(twice, "s").select("node", "s", F.explode(F.array(own, own + 1)).alias("j"))
+    shared = staged(keyed.join(twice, "s").join(first.select("node", "n"), "node").select("node", "s", F.explode(F.array(own, own + 1)).alias("j")), "shared")
     least = shared.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = shared.join(least, ["s", "j"]).select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node").distinct()
-    first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     tiles = staged(tiled(members.join(first.select("node", "n"), "node"), threshold), "members")
     sigs = first.select("node", F.col("sig").alias("load"))
     screened = lambda left, right: dealt(facing(left, right), sigs).mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint")
@@ -271,8 +296,9 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         met = screened(unmet, tiles.join(unmet.select("g").distinct(), "g"))
         able = staged(able.unionByName(met).distinct(), "able")
     wanted = able.select("node").distinct().join(first.select("node", "n", "rk"), "node")
-    found = rows.join(wanted.select("rk"), "rk").select("text").mapInArrow(lambda b: _sets(b, n), "node bigint, load binary")
-    sets = staged(found.filter("node is not null").dropDuplicates(["node"]), "able-sets")
+    marks = spark.sparkContext.broadcast(rough_members(wanted.select("rk")))
+    found = rows.select(F.pmod(F.xxhash64("rk"), F.lit(CELLS)).cast("bigint").alias("cell"), "text").mapInArrow(lambda b: _sets(b, marks, n), "node bigint, load binary")
+    sets = staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "able-sets")
     # Groups that share a node become one, so that a set travels once.
     whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "g")
     loaded = staged(tiled(wanted.select("node", "n").join(whole, "node"), threshold), "tiles")
