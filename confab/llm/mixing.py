@@ -145,10 +145,10 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source, source_size, target, taken for every document."""
-        times = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-        words = self.pieces().join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("times") * (F.col("b") - F.col("a"))).alias("taken"))
+        times = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # many rows from a small plan, which would pass for small
+        words = self.pieces().join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("times") * (F.col("b") - F.col("a"))).alias("taken")).hint("merge")
         named = self.placed.join(self.sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        hit = words.withColumn("_some", F.lit(1))
+        hit = words.withColumn("_some", F.lit(1)).hint("merge")
         joined = named.withColumn("_some", F.when(F.col("size") > 0, 1)).join(hit, ["src", "start", "_some"], "left")
         return joined.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
@@ -159,7 +159,7 @@ class Mix:
         keyed = self.placed.select("source", "start", F.col("_rank").alias("_r"), "size").filter(F.col("size") > 0).join(self.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).select("src", "start", "_r")
         parts = self.pieces().join(keyed, ["src", "start"]).join(body, "_r").select("src", "block", "start", F.slice("words", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("w"))
         packed = parts.groupBy("src", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda x: x["w"])), " ").alias("text"))
-        return self.slots().join(packed, ["src", "block"]).join(self.sources.select("src", "source"), "src").select("shard", "slot", "source", "text")
+        return self.slots().hint("merge").join(packed, ["src", "block"]).join(self.sources.select("src", "source"), "src").select("shard", "slot", "source", "text")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -169,10 +169,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     blocks' words in order, joined by a space, and their number of characters as n_chars where ``docs`` has that column.
     """
     mix = Mix(docs, **options)
-    hits = mix.pieces().join(mix.slots().select("src", "block", "round"), ["src", "block"])
+    hits = mix.pieces().join(mix.slots().select("src", "block", "round").hint("merge"), ["src", "block"])
     rounds = hits.groupBy("src", "start", "round").agg(F.sum(F.col("b") - F.col("a")).alias("_n"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_parts"))
     places = mix.placed.join(mix.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("size") > 0)
-    wanted = rounds.join(places.select("src", "start", "size", F.col("_rank").alias("_r")), ["src", "start"]).groupBy("_r").agg(F.collect_list(F.struct("start", "round", "_n", "size", "_parts")).alias("_take"))
+    wanted = rounds.join(places.select("src", "start", "size", F.col("_rank").alias("_r")), ["src", "start"]).groupBy("_r").agg(F.collect_list(F.struct("start", "round", "_n", "size", "_parts")).alias("_take")).hint("merge")
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("_r", rank_key(F.col("doc_id"), F.crc32(body.cast("binary"))))
     # Equal rows share a key, and the first of them stands for all that was taken of them.
