@@ -89,8 +89,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
     w0 = float(np.log(rate / (1 - rate)))
     if not n or not pos or pos == n:
         return Machine(known, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=BUCKETS).astype(float)
     hit = np.bincount(flat, weights=labels[of], minlength=BUCKETS)
     a, b, c, d = hit, seen - hit, pos - hit, n - pos - (seen - hit)
@@ -128,11 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     got = rows.select("toxic", "text").mapInArrow(_featured, "toxic double, terms array<int>").toArrow()
     lists = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int64)
+    marks, ends, flat = got.column("toxic").to_numpy(), np.asarray(lists.offsets), np.asarray(lists.values)
     split = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    labels_ = got.column("toxic").to_numpy()
-    order = sorted(range(len(split)), key=lambda i: (len(split[i]), split[i].tobytes(), labels_[i]))
-    return fit_rows([split[i] for i in order], labels_[order] if order else np.zeros(0))
+    # The rows come in no fixed order; the sums below are to be the same each time.
+    order = sorted(range(len(split)), key=lambda i: (xxh3_64_intdigest(split[i].tobytes()), marks[i]))
+    return fit_rows([split[i] for i in order], marks[order] if order else np.zeros(0))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine, names: list[str]) -> Iterator[pa.RecordBatch]:
