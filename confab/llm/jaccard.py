@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, sorted-array intersection; links as components.
 
 1. A document's sorted shingle hashes make its set; equal sets share a node. In one order of all shingles (those that a sample finds
-   frequent last, else by hash) a set's first n - ceil(t n) + 1 shingles are its prefix: two sets at similarity t share a shingle of
-   their prefixes. Under each shingle and size band nodes join the group of the smallest, so that every pair that could link
+   frequent last, else from rare to frequent by a sketch of counts, else by hash) a set's first n - ceil(t n) + 1 shingles are its
+   prefix: two sets at similarity t share a shingle of their prefixes. What the sketch counts once is in one text only and
+   goes no further. Under each shingle and size band nodes join the group of the smallest, so that every pair that could link
    meets in some group.
 2. Groups are cut into tiles by size band and slice. Tiles of neighbouring bands are compared through bitmaps of the
    sets: each bit that only one side has is a shingle the other lacks, which bounds the overlap from above. Each tile meets
@@ -35,6 +36,10 @@ SIGNATURE = 256
 CELLS, CHUNK = 1 << 26, 1 << 16
 #: Documents sampled for frequent shingles, and in how many of those a shingle must occur to be one. Only the order depends on it, no link.
 SAMPLE, FREQUENT = 10_000, 4
+#: Cells of the sketch of shingle counts (two bits each, 16 MB for any input), and the counts that its levels 1 to 3 start at.
+COUNTED, LEVELS = 1 << 26, (2, 4, 16)
+#: A partition's counts are sent on when it holds so many shingles.
+HELD = 1 << 20
 
 
 def _set(words: WordHash, text: bytes, n: int) -> np.ndarray:
@@ -60,6 +65,85 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(counts.select("s").toArrow().column("s").to_numpy().view(np.uint64))
 
 
+def counted_below(threshold: float) -> np.uint64:
+    """Shingles with hashes below it are counted: two and a half times as many of a set's as its prefix takes."""
+    return np.uint64(min(int(max(0.125, 2.5 * (1 - threshold)) * 2.0**64), 2**64 - 1))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], n: int, below: np.uint64) -> Iterator[pa.RecordBatch]:
+    """chunk, low, times: a partition's counts of documents by cell, as 16-bit offsets in the chunk and bytes."""
+    words, held, size = WordHash(), [], 0
+
+    def emitted() -> pa.RecordBatch:
+        at, times = np.unique(np.concatenate(held) & np.uint64(COUNTED - 1), return_counts=True)
+        chunk, low, few = (at // np.uint64(CHUNK)).astype(np.int32), (at % np.uint64(CHUNK)).astype("<u2"), np.minimum(times, 255).astype(np.uint8)
+        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([few[a:b].tobytes() for a, b in cuts], pa.binary())], names=["chunk", "low", "times"])
+
+    for batch in batches:
+        for text in texts_of(batch):
+            own = _set(words, text, n)
+            own = own[: np.searchsorted(own, below)]
+            if len(own):
+                held.append(own)
+                size += len(own)
+            if size >= HELD:
+                yield emitted()
+                held, size = [], 0
+    if size:
+        yield emitted()
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, low, high: the two bits of each cell's level as bitmaps. Batches come sorted by chunk; one chunk's counts are held."""
+    counts, last = np.zeros(CHUNK, np.int64), None
+    schema = pa.schema([("chunk", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
+
+    def done() -> pa.RecordBatch:
+        level = np.searchsorted(LEVELS, counts, side="right")
+        return pa.RecordBatch.from_pydict({"chunk": [last], "low": [np.packbits(level & 1, bitorder="little").tobytes()], "high": [np.packbits(level >> 1, bitorder="little").tobytes()]}, schema=schema)
+
+    for batch in batches:
+        for chunk, low, times in zip(batch.column("chunk").to_pylist(), batch.column("low"), batch.column("times"), strict=True):
+            if last is not None and chunk != last:
+                yield done()
+                counts[:] = 0
+            last = chunk
+            counts[np.frombuffer(low.as_py(), "<u2")] += np.frombuffer(times.as_py(), np.uint8)
+    if last is not None:
+        yield done()
+
+
+def shingle_levels(docs: DataFrame, n: int, threshold: float) -> np.ndarray:
+    """Two bitmaps of COUNTED bits, the low and the high bit of the level of each cell's count; counts never fall below a shingle's true one."""
+    below = counted_below(threshold)
+    parts = docs.select("text").mapInArrow(lambda b: _counted(b, n, below), "chunk int, low binary, times binary")
+    rows = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_levels, "chunk int, low binary, high binary").toArrow()
+    out, step = np.zeros((2, COUNTED // 8), np.uint8), CHUNK // 8
+    for chunk, *bits in zip(*(rows.column(c).to_pylist() for c in ("chunk", "low", "high")), strict=True):
+        for plane, own in zip(out, bits, strict=True):
+            plane[chunk * step : (chunk + 1) * step] = np.frombuffer(own, np.uint8)
+    return out
+
+
+class Order:
+    """One order of all shingles: by rank, then hash. Rank 0: in one text at most."""
+
+    def __init__(self, frequent: np.ndarray, planes: np.ndarray, below: np.uint64):
+        self.frequent, self.planes, self.below = frequent, planes, below
+
+    def ranks(self, own: np.ndarray) -> np.ndarray:
+        cell = own & np.uint64(COUNTED - 1)
+        at, shift = (cell >> np.uint64(3)).astype(np.int64), (cell & np.uint64(7)).astype(np.uint8)
+        low, high = ((plane[at] >> shift) & 1 for plane in self.planes)
+        rank = np.where(own < self.below, low + 2 * high, len(LEVELS) + 1)
+        if len(self.frequent):
+            near = np.minimum(np.searchsorted(self.frequent, own), len(self.frequent) - 1)
+            rank[self.frequent[near] == own] = len(LEVELS) + 2
+        return rank
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """A bitmap with two to four bits for each shingle, so that long sets don't fill theirs."""
     return bitmap(own, max(SIGNATURE, 1 << int(2 * len(own) - 1).bit_length()))
@@ -70,13 +154,12 @@ def folded(marks: np.ndarray, lanes: int) -> np.ndarray:
     return np.bitwise_or.reduce(marks.reshape(len(marks), -1, lanes), axis=1)
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, threshold: float) -> np.ndarray:
+def prefix(own: np.ndarray, order: Order, threshold: float) -> np.ndarray:
+    """The prefix, without what no other text has."""
     size = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
-    if not len(frequent):
-        return own[:size]
-    at = np.searchsorted(frequent, own)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == own
-    return np.concatenate([own[~common], own[common]])[:size]
+    ranks = order.ranks(own)
+    first = np.argsort(ranks, kind="stable")[:size]
+    return own[first[ranks[first] > 0]]
 
 
 def _node(own: np.ndarray) -> int:
@@ -85,7 +168,7 @@ def _node(own: np.ndarray) -> int:
 
 
 def _listed(batches: Iterator[pa.RecordBatch], held, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Every document's node and set size; a partition's first document of a node also brings its signature and prefix."""
+    """Every document's node and set size; a partition's first document of a node also brings its signature and prefix, if any of that is left."""
     words, seen = WordHash(), set()
     for batch in batches:
         nodes, sizes, marks, prefixes = [], [], [], []
@@ -97,8 +180,9 @@ def _listed(batches: Iterator[pa.RecordBatch], held, n: int, threshold: float) -
                 seen.add(node)
             nodes.append(node)
             sizes.append(len(own))
-            marks.append(signature(own).tobytes() if new else None)
-            prefixes.append(signed(prefix(own, held.value, threshold)) if new else None)
+            first = prefix(own, held.value, threshold) if new else ()
+            marks.append(signature(own).tobytes() if len(first) else None)
+            prefixes.append(signed(first) if len(first) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "rk", "node", "n", "sig", "prefix"])
 
 
@@ -275,7 +359,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         raise ValueError("threshold must lie in 0.5 to 1")
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("rk"))
-    held = spark.sparkContext.broadcast(frequent_shingles(docs, n))
+    held = spark.sparkContext.broadcast(Order(frequent_shingles(docs, n), shingle_levels(docs, n, threshold), counted_below(threshold)))
     kind = dict(docs.dtypes)["doc_id"]
     listed = staged(rows.mapInArrow(lambda b: _listed(b, held, n, threshold), f"doc_id {kind}, rk bigint, node bigint, n bigint, sig binary, prefix array<bigint>"), "sets")
 
