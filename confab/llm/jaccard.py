@@ -30,6 +30,8 @@ from confab.llm.texts import WordHash, bitmap, shingle_set, signed, texts_of
 
 #: Nodes of a tile.
 TILE = 256
+#: Parts that a group of more than TILE members is dealt in where its members look up what is known of it: so many small rows for each of its bands.
+SALTS = 64
 #: Least bits of a signature.
 SIGNATURE = 256
 #: Bits of the bitmap that picks texts for exact comparison, and of one chunk of it.
@@ -284,13 +286,25 @@ def band(n: Column, threshold: float) -> Column:
     return F.floor(F.log(n.cast("double")) / max(0.01, math.log(1 / threshold) * (1 + 1e-6))).cast("int")
 
 
+def salt() -> Column:
+    """A node's part of its group."""
+    return F.pmod(F.xxhash64(F.lit("part"), F.col("node")), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """``rows``, one or a few for each large group, for every part of it."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def tiled(members: DataFrame, threshold: float) -> DataFrame:
     """g, node, n, ... with band, slice and tiles; a group of up to TILE members is one tile, in a larger one each band has a slice for each TILE of its members or so."""
-    whole = members.groupBy("g").agg(F.count(F.lit(1)).alias("_all"))
-    banded = members.join(whole, "g").withColumn("band", F.when(F.col("_all") > TILE, band(F.col("n"), threshold)).otherwise(-1))
-    sizes = banded.filter(F.col("_all") > TILE).groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    sliced = banded.join(sizes, ["g", "band"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
-    return sliced.withColumn("slice", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int")).drop("_all")
+    banded = members.withColumn("band", band(F.col("n"), threshold))
+    counts = banded.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"))
+    large = counts.groupBy("g").agg(F.sum("c").alias("all")).filter(F.col("all") > TILE).select("g")
+    sizes = salted(counts.join(large, "g").select("g", "band", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")))
+    sliced = banded.withColumn("salt", salt()).join(sizes, ["g", "band", "salt"], "left").drop("salt")
+    placed = sliced.withColumn("band", F.when(F.col("tiles").isNotNull(), F.col("band")).otherwise(-1)).withColumn("tiles", F.coalesce("tiles", F.lit(0)))
+    return placed.withColumn("slice", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int"))
 
 
 def facing(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -392,7 +406,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     labels = components(tight)
     placed = loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
-    apart = staged(placed.join(main, "g").filter("label <> main").select("g", "node"), "apart")
+    apart = staged(placed.withColumn("salt", salt()).join(salted(main), ["g", "salt"]).filter("label <> main").select("g", "node"), "apart")
     if not apart.isEmpty():
         rest = loaded.join(apart, ["g", "node"])
         more = verified(rest, loaded.join(apart.select("g").distinct(), "g"))
