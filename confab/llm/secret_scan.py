@@ -16,18 +16,33 @@ ASSIGN_MIN = 8
 #: Runs shorter than this are no finding, and since runs are maximal the bound can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Tokens for the battery: long enough for its tests to mean something, with a digit somewhere.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens for the battery: long enough for its tests to mean something.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Inferred encodings, narrowest first: pattern and alphabet (fixed values).
 ENCODINGS = (
     ("^[0-9a-f]+$", "0123456789abcdef"),
     ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("^[2-7A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("^[2-7a-z]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Share of neighbouring characters of ordinary identifiers that change class (digit to letter or back, lower to upper case).
 ORDINARY_CHANGES = 0.2
+#: How often ordinary text has each letter, a to z (per mille).
+ORDINARY_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+
+
+def ordinary(alphabet: str) -> Column:
+    """struct<k2, k3, even, changes> of an encoding: chances that two and three letters of ordinary text are the same (of those letters
+    that the alphabet has, without regard to case) and that two drawn evenly are, and the share of class changes of even draws."""
+    letters = sorted(set(filter(str.isalpha, alphabet.lower())))
+    own = [ORDINARY_LETTERS[ord(c) - ord("a")] for c in letters]
+    k2, k3 = (sum((w / sum(own)) ** e for w in own) for e in (2, 3))
+    digit, lower, upper = (sum(map(f, alphabet)) / len(alphabet) for f in (str.isdigit, str.islower, str.isupper))
+    share = 2.0 * digit * (lower + upper) + lower * upper
+    return F.struct(F.lit(k2).alias("k2"), F.lit(k3).alias("k3"), F.lit(1.0 / len(letters)).alias("even"), F.lit(share).alias("changes"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -60,15 +75,17 @@ def spans(text: str, found: str, pattern: str, kind: int) -> Column:
 
 
 def randomness(word: Column) -> Column:
-    """struct<n, changes, p>: the smallest p-value of the battery, times three, for a word drawn uniformly from its alphabet.
+    """struct<n, changes, p, o>: the smallest p-value of the battery, times three, for a word drawn uniformly from its alphabet, and
+    the p-value for a word of ordinary text.
 
     Chi-squared uniformity of the symbols (Wilson-Hilferty tail), runs above and below the middle of the
     alphabet (two-sided) and lag-one serial correlation of the symbols' places (two-sided).
     """
     plain = F.regexp_replace(word, "=+$", "")
-    alphabet = F.lit(ENCODINGS[-1][1])
+    alphabet, usual = F.lit(ENCODINGS[-1][1]), ordinary(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(plain.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+        fits = plain.rlike(pattern)
+        alphabet, usual = F.when(fits, F.lit(letters)).otherwise(alphabet), F.when(fits, ordinary(letters)).otherwise(usual)
 
     def battery(x: Column) -> Column:
         n, k, codes = x["n"].cast("double"), x["k"].cast("double"), x["codes"]
@@ -87,25 +104,25 @@ def randomness(word: Column) -> Column:
         spread = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
         lag = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         p_lag = F.when(spread > 0, 2.0 * normal_tail(F.abs(lag / spread + 1.0 / n) * F.sqrt(n))).otherwise(0.0)
-        return F.struct(x["n"].alias("n"), x["changes"].alias("changes"), F.least(F.lit(1.0), 3.0 * F.least(p_chi, p_runs, p_lag)).alias("p"))
+        return F.struct(x["n"].alias("n"), x["changes"].alias("changes"), F.least(F.lit(1.0), 3.0 * F.least(p_chi, p_runs, p_lag)).alias("p"), _ordinary(x).alias("o"))
 
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9]", ""), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     changes = F.regexp_count(classes, F.lit("(?<=0)[aA]|(?<=[aA])0|(?<=a)A"))
     codes = let(alphabet, lambda letters: F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: (F.call_function("instr", letters, c) - 1).cast("double")))
-    return let(F.struct(F.length(plain).alias("n"), F.length(alphabet).alias("k"), codes.alias("codes"), changes.alias("changes")), battery)
+    letters = F.regexp_extract_all(F.lower(plain), F.lit("[a-z]"), F.lit(0))
+    return let(F.struct(F.length(plain).alias("n"), F.length(alphabet).alias("k"), codes.alias("codes"), changes.alias("changes"), letters.alias("letters"), usual.alias("usual")), battery)
 
 
 def tested(words: Column, alpha: float, rate: float) -> Column:
     """The spans of ``words`` that look drawn at random.
 
-    Each has a p-value for ordinary text (its class changes under ORDINARY_CHANGES), divided by its length over the text's
-    mean length: longer tokens carry more evidence and get more of the error budget. Benjamini and Hochberg's step-up
+    Each has a p-value for ordinary text, divided by its length over the text's mean length: longer tokens carry more evidence and get more of the error budget. Benjamini and Hochberg's step-up
     rule holds the text's false discovery rate at ``rate``; what the battery rejects at ``alpha`` isn't random and goes.
     """
 
     def judged(all_: Column) -> Column:
         mean = F.aggregate(all_, F.lit(0.0), lambda s, x: s + x["r"]["n"]) / F.size(all_)
-        weighted = F.transform(all_, lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r"), (_ordinary(x["r"]) * mean / x["r"]["n"]).alias("q")))
+        weighted = F.transform(all_, lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r"), (x["r"]["o"] * mean / x["r"]["n"]).alias("q")))
 
         def cut(rows: Column) -> Column:
             ranked = F.array_sort(F.transform(rows, lambda x: x["q"]))
@@ -118,9 +135,26 @@ def tested(words: Column, alpha: float, rate: float) -> Column:
     return let(F.transform(words, lambda w: F.struct(w.alias("w"), randomness(w["word"]).alias("r"))), judged)
 
 
-def _ordinary(r: Column) -> Column:
-    pairs = F.greatest(r["n"] - 1, F.lit(1)).cast("double")
-    return normal_tail((r["changes"] - 0.5 - pairs * ORDINARY_CHANGES) / F.sqrt(pairs * ORDINARY_CHANGES * (1.0 - ORDINARY_CHANGES)))
+def _ordinary(x: Column) -> Column:
+    """The p-value of a word of ordinary text: the symbol counts of chi-squared, taken over letters, and the runs of classes.
+
+    Ordinary text repeats its frequent letters and seldom changes class. How far each count lies on the random side is measured in
+    deviations; the two are added with what even draws of this length and encoding would show of each as weights.
+    """
+    usual, letters = x["usual"], x["letters"]
+    m = F.size(letters).cast("double")
+    same = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(letters, lambda d: d == c)).cast("double"), F.lit(2.0))) - m
+    pairs, k2, k3 = m * (m - 1.0), usual["k2"], usual["k3"]
+    spread = F.sqrt(2.0 * pairs * (k2 - k2 * k2) + 4.0 * pairs * (m - 2.0) * (k3 - k2 * k2))
+    told = m >= 3.0
+    z_same = F.when(told, (pairs * k2 - same - 1.0) / spread).otherwise(0.0)
+    w_same = F.when(told, F.greatest(pairs * (k2 - usual["even"]) / spread, F.lit(0.0))).otherwise(0.0)
+    steps = F.greatest(x["n"] - 1, F.lit(1)).cast("double")
+    sd = F.sqrt(steps * ORDINARY_CHANGES * (1.0 - ORDINARY_CHANGES))
+    z_changes = (x["changes"] - 0.5 - steps * ORDINARY_CHANGES) / sd
+    w_changes = F.greatest(steps * (usual["changes"] - ORDINARY_CHANGES) / sd, F.lit(0.0))
+    weight = F.sqrt(w_same * w_same + w_changes * w_changes)
+    return F.when(weight > 0, normal_tail((z_same * w_same + z_changes * w_changes) / weight)).otherwise(1.0)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", alpha: float = 0.001, rate: float = 0.01) -> DataFrame:

@@ -206,6 +206,20 @@ def test_secrets(spark, awkward, empty):
     assert secret_scan.report(empty).count() == 0
 
 
+def test_random_tokens(spark):
+    """Most tokens drawn at random are found, with few class changes or no digit too; ordinary long words aren't."""
+    import random
+
+    rng = random.Random(5)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {"base32": (upper + "234567", 64, 0.65), "base36": (lower + "0123456789", 40, 0.68), "letters": (lower + upper, 64, 0.2), "base64": (lower + upper + "0123456789+/", 40, 0.85)}
+    rows = [(k, "key " + "".join(rng.choices(a, k=n))) for k, (a, n, _) in kinds.items() for _ in range(300)]
+    plain = ["einlichheitenpfpfverlichkeit", "internationalization_of_the_interface", "getCurrentUserConfigurationValue2", "docs/archive/2024/statement-of-accounts", "SOME_LONG_CONSTANT_NAME_OF_THE_LIBRARY_1", "antidisestablishmentarianism"]
+    docs = spark.createDataFrame(rows + [("plain", f"see {w} there") for w in plain], "kind string, text string")
+    found = {r.kind: r.found for r in secret_scan.find_secrets(docs).groupBy("kind").agg(F.avg(F.exists("secrets", lambda s: s["kind"] == 3).cast("int")).alias("found")).collect()}
+    assert all(found[k] >= least for k, (_, _, least) in kinds.items()) and found["plain"] == 0
+
+
 def test_tokens(spark, awkward, empty, tmp_path):
     encode = token_count.encoding(token_count.VOCABULARY).encode_ordinary
     assert counted(token_count.count_tokens(awkward, block=7), "doc_id", "n_tokens") == Counter((i, len(encode(t or ""))) for i, t in AWKWARD)
