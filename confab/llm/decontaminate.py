@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows the size of an item.
 
 Every window of a document that holds at least one shingle of the benchmark gets a 64-bit SimHash of its weighted shingles, one
-for each item size. Fingerprints are split into blocks; two within the radius agree up to radius // blocks bits in at least one
+for each item size; a document shorter than an item, but not too short to reach the similarity, is one window.
+Fingerprints are split into blocks; two within the radius agree up to radius // blocks bits in at least one
 block, and a table of all values that near, block by block, finds every item within the radius. What is found is
 verified by the exact similarity of the weighted shingle sets, the sum of the smaller counts over that of the larger.
 """
@@ -117,18 +118,19 @@ class ItemIndex:
             hits = np.r_[0, np.cumsum(hit)]
             votes = None
             for s, m in self.classes:
-                if s != size or m > len(hashes):
+                width = min(m, len(hashes))
+                if s != size or width / m < self.threshold:
                     continue
-                starts = np.flatnonzero(hits[m:] > hits[:-m])
+                starts = np.flatnonzero(hits[width:] > hits[:-width])
                 if not len(starts):
                     continue
                 if votes is None:
                     votes = np.zeros((len(hashes) + 1, BITS), np.int32)
                     np.cumsum(bit_rows(hashes), axis=0, out=votes[1:])
-                prints = packed(votes[starts + m] - votes[starts])
+                prints = packed(votes[starts + width] - votes[starts])
                 for w, item in self.candidates(prints, self.members[(s, m)]):
                     at = int(starts[w])
-                    sim = similarity(hashes[at : at + m], self.sets[item])
+                    sim = similarity(hashes[at : at + width], self.sets[item])
                     if sim >= self.threshold and (sim, -at) > (best.get(item, (0.0, 0))[0], -best.get(item, (0.0, 0))[1]):
                         best[item] = (sim, at)
         return sorted((self.items[i], at, sim) for i, (sim, at) in best.items())
@@ -166,8 +168,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, start_word, similarity: for every item in a document, its best window.
 
     Words are A-Z lower-cased; shingles have five words, or all of an item that has fewer. Null and empty texts hold
-    nothing; repeated rows are found each; an item's window keeps the item's length in words. Texts are searched whole and where they
-    lie, without a shuffle.
+    nothing; repeated rows are found each; an item's window keeps the item's length in words, or is the whole
+    of a shorter text. Texts are searched whole and where they lie, without a shuffle.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")

@@ -125,6 +125,16 @@ def test_leaks(spark, awkward, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(awkward, bench.limit(0)).count() == 0
 
 
+def test_leaks_shorter_than_items(spark):
+    item = [f"q{i}" for i in range(40)]
+    rows = [(1, item[:38]), (2, item[1:]), (3, item[:33]), (4, item[:32]), (5, item[:20]), (6, item[:3]), (7, ["else"] * 38)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    found = {r.doc_id: (r.start_word, round(r.similarity, 4)) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {1: (0, round(34 / 36, 4)), 2: (0, round(35 / 36, 4)), 3: (0, round(29 / 36, 4))}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [4, 5, 6, 7]
+
+
 def test_index_finds_all_within_radius():
     import numpy as np
 
