@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confab.llm.common import rank_key, running
@@ -94,11 +94,17 @@ def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
             )
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A rank_key of whole rows, 128 bits of all columns: only equal rows share one (null and empty texts pass for equal)."""
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return rank_key(text, F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+
+
 class Mix:
     """The mix of ``docs`` (doc_id, source and text; other columns ride along unused).
 
     A document's size is its number of words; null texts and texts without words have none and are never taken. A null source is
-    a source, ordered last. Documents take their places by a hash of id and text, so that reruns agree; equal rows
+    a source, ordered last. Documents take their places by a hash of their rows, so that reruns agree; equal rows
     are interchangeable. ``sources`` holds one row per source: src, source, source_size, target, blocks, quota.
     """
 
@@ -106,7 +112,7 @@ class Mix:
         self.block, self.seed = block, seed
         spark = docs.sparkSession
         body = F.coalesce(F.col("text"), F.lit(""))
-        sized = docs.select("doc_id", "source", F.regexp_count(body, F.lit(SPACE)).cast("bigint").alias("size"), rank_key(F.col("doc_id"), F.crc32(body.cast("binary"))).alias("_rank"))
+        sized = docs.select("doc_id", "source", F.regexp_count(body, F.lit(SPACE)).cast("bigint").alias("size"), row_key(docs).alias("_rank"))
         self.placed = running(sized, "source", "_rank", ["doc_id", "size"], F.col("size"), "start")
         found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -155,7 +161,7 @@ class Mix:
     def texts(self, docs: DataFrame) -> DataFrame:
         """shard, slot, source, text: the blocks of the output, their words joined by a space."""
         words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE), F.lit(0))
-        body = docs.select(F.col("doc_id").alias("_id"), rank_key(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_r"), words.alias("words")).dropDuplicates(["_r"])
+        body = docs.select(F.col("doc_id").alias("_id"), row_key(docs).alias("_r"), words.alias("words")).dropDuplicates(["_r"])
         keyed = self.placed.select("source", "start", F.col("_rank").alias("_r"), "size").filter(F.col("size") > 0).join(self.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).select("src", "start", "_r")
         parts = self.pieces().join(keyed, ["src", "start"]).join(body, "_r").select("src", "block", "start", F.slice("words", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("w"))
         packed = parts.groupBy("src", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda x: x["w"])), " ").alias("text"))
@@ -174,7 +180,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     places = mix.placed.join(mix.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("size") > 0)
     wanted = rounds.join(places.select("src", "start", "size", F.col("_rank").alias("_r")), ["src", "start"]).groupBy("_r").agg(F.collect_list(F.struct("start", "round", "_n", "size", "_parts")).alias("_take")).hint("merge")
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_r", rank_key(F.col("doc_id"), F.crc32(body.cast("binary"))))
+    keyed = docs.withColumn("_r", row_key(docs))
     # Equal rows share a key, and the first of them stands for all that was taken of them.
     each = keyed.dropDuplicates(["_r"]).join(wanted, "_r").withColumn("_take", F.explode("_take"))
     some = F.regexp_extract_all(body, F.lit(SPACE), F.lit(0))

@@ -316,6 +316,22 @@ def test_mix(awkward, empty):
     assert mixing.Mix(empty).taken().count() == 0
 
 
+def test_mix_tells_rows_apart(spark):
+    """Rows of one id or none whose texts have the same CRC, and rows that differ in source or another column only."""
+    seen, pairs = {}, []
+    for i in range(400_000):
+        t = f"text number {i * 7919} of many"
+        pairs += [(seen[c], t)] if (c := zlib.crc32(t.encode())) in seen else []
+        seen[c] = t
+    rows = [(i, t, "en", "a") for k, pair in enumerate(pairs[:4]) for t in pair for i in [None if k % 2 else 1]]
+    rows += [(2, "one text of two sources", "en", s) for s in "ab"] + [(3, "one text of two languages", x, "a") for x in ("en", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    even = tuple(float(sum(len(words(r[1])) for r in rows if r[3] == s)) for s in "ab")
+    assert len(pairs) >= 4 and counted(mixing.mixed_documents(docs, block=1, weights=even), *docs.columns) == Counter(rows)
+    held = Counter(w for r in mixing.Mix(docs, block=1, weights=even).texts(docs).collect() for w in words(r.text))
+    assert held == Counter(w for r in rows for w in words(r[1]))
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
