@@ -1,7 +1,7 @@
 """Mixing sources to target weights by drawing packed blocks.
 
 Each source's documents, in a pseudorandom but fixed order, form one stream of words that is cut into blocks of equal
-length. Output shards draw how many slots each source fills (multinomial, held to the sources' quotas); a source's
+length, shorter ones in a source too small for LEAST_BLOCKS. Output shards draw how many slots each source fills (multinomial, held to the sources' quotas); a source's
 slots, numbered on, map through a keyed permutation of its block numbers, a fresh one for every pass over the
 source; slots and blocks meet in a join by block number.
 """
@@ -19,6 +19,8 @@ from confab.llm.common import rank_key, running
 from confab.llm.texts import mixed
 
 BLOCK = 64
+#: A source has so many blocks, if it has the words: quotas are whole blocks.
+LEAST_BLOCKS = 32
 SHARDS = 64
 #: A source's words are taken at most this often.
 PASSES = 3
@@ -105,11 +107,11 @@ class Mix:
 
     A document's size is its number of words; null texts and texts without words have none and are never taken. A null source is
     a source, ordered last. Documents take their places by a hash of their rows, so that reruns agree; equal rows
-    are interchangeable. ``sources`` holds one row per source: src, source, source_size, target, blocks, quota.
+    are interchangeable. ``sources`` holds one row per source: src, source, source_size, target, blocks, quota, length (words in a block).
     """
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS):
-        self.block, self.seed = block, seed
+        self.seed = seed
         spark = docs.sparkSession
         body = F.coalesce(F.col("text"), F.lit(""))
         sized = docs.select("doc_id", "source", F.regexp_count(body, F.lit(SPACE)).cast("bigint").alias("size"), row_key(docs).alias("_rank"))
@@ -120,10 +122,11 @@ class Mix:
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["n"] for r in found]
         aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))]) if found else []
-        blocks = [-(-n // block) for n in sizes]
-        quotas = [min(PASSES * b, round(t * b / n)) if n else 0 for t, b, n in zip(aims, blocks, sizes, strict=True)]
+        lengths = [max(1, min(block, n // LEAST_BLOCKS)) for n in sizes]
+        blocks = [-(-n // length) for n, length in zip(sizes, lengths, strict=True)]
+        quotas = [min(PASSES * b, max(1, round(t * b / n))) if n and t > 0 else 0 for t, b, n in zip(aims, blocks, sizes, strict=True)]
         self.sources = spark.createDataFrame(
-            [(i, r["source"], r["n"], t, b, q) for i, (r, t, b, q) in enumerate(zip(found, aims, blocks, quotas, strict=True))], "src int, source string, source_size bigint, target double, blocks bigint, quota bigint"
+            [(i, r["source"], r["n"], t, b, q, w) for i, (r, t, b, q, w) in enumerate(zip(found, aims, blocks, quotas, lengths, strict=True))], "src int, source string, source_size bigint, target double, blocks bigint, quota bigint, length bigint"
         )
         self.plan = draws(quotas, shards, seed) if found else np.zeros((shards, 0), np.int64)
         self.blocks_of = blocks
@@ -142,11 +145,11 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """src, block, start (the document's place in its source), doc_id, size, a, b: words a to b (exclusive) of the document lie in the block."""
-        known = self.placed.join(self.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
+        known = self.placed.join(self.sources.select("src", F.col("source").alias("_s"), "length"), F.col("source").eqNullSafe(F.col("_s")))
         rows = known.filter(F.col("size") > 0)
-        each = rows.withColumn("block", F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(self.block).cast("bigint")), F.call_function("div", F.col("start") + F.col("size") - 1, F.lit(self.block).cast("bigint")))))
-        a = F.greatest(F.col("block") * self.block - F.col("start"), F.lit(0))
-        b = F.least((F.col("block") + 1) * self.block - F.col("start"), F.col("size"))
+        each = rows.withColumn("block", F.explode(F.sequence(F.call_function("div", F.col("start"), F.col("length")), F.call_function("div", F.col("start") + F.col("size") - 1, F.col("length")))))
+        a = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
+        b = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("size"))
         return each.select("src", "block", "start", "doc_id", "size", a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
     def taken(self) -> DataFrame:

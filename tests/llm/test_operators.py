@@ -332,6 +332,14 @@ def test_mix_tells_rows_apart(spark):
     assert held == Counter(w for r in rows for w in words(r[1]))
 
 
+def test_mix_of_small_sources(spark):
+    """Sources of fewer words than a block keep to their targets."""
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(60)), f"s{i:02d}") for i in range(12)], "doc_id bigint, text string, source string")
+    got = mixing.Mix(docs).taken().collect()
+    assert len(got) == 12 and all(abs(r.taken - r.target) <= 2 for r in got)
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in got)
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
