@@ -53,7 +53,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class ItemIndex:
     """Items by shingle length, window size and fingerprint."""
 
-    def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, blocks: int = BLOCKS, threshold: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, bytes]], radius: int = RADIUS, blocks: int = BLOCKS, threshold: float = SIMILARITY):
         words, self.radius, self.threshold = WordHash(), radius, threshold
         rows = []
         for item, text in items:
@@ -104,8 +104,8 @@ class ItemIndex:
                 if (int(prints[w]) ^ int(self.prints[item])).bit_count() <= self.radius:
                     yield w, item
 
-    def search(self, words: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, start, similarity) of the best window of each item found in a text's word hashes, by item; the first on ties."""
+    def search(self, words: np.ndarray) -> list[tuple[int | None, int, float]]:
+        """(item, start, similarity) of the best window of each item found in a text's word hashes, by item, null last; the first on ties."""
         best: dict[int, tuple[float, int]] = {}
         for size, known in self.known.items():
             hashes = shingles(words, size, salt=size)
@@ -133,19 +133,19 @@ class ItemIndex:
                     sim = similarity(hashes[at : at + width], self.sets[item])
                     if sim >= self.threshold and (sim, -at) > (best.get(item, (0.0, 0))[0], -best.get(item, (0.0, 0))[1]):
                         best[item] = (sim, at)
-        return sorted((self.items[i], at, sim) for i, (sim, at) in best.items())
+        return sorted(((self.items[i], at, sim) for i, (sim, at) in best.items()), key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))
 
 
 def indexes(benchmark: DataFrame, **options) -> list:
-    """Broadcast indexes over all items, MAX_ITEMS or so in each. Null ids and null texts hold nothing to search for."""
+    """Broadcast indexes over all items, MAX_ITEMS or so in each. Items without an id are searched for as well; null texts hold nothing."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
     parts = max(1, -(-items.count() // MAX_ITEMS))
-    slot = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     out = []
     for p in range(parts):
         rows = items.filter(slot == p).collect()
-        out.append(spark.sparkContext.broadcast(ItemIndex(sorted((r["item_id"], r["text"].encode()) for r in rows), **options)))
+        out.append(spark.sparkContext.broadcast(ItemIndex(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), **options)))
     return out
 
 

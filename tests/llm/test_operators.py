@@ -135,6 +135,14 @@ def test_leaks_shorter_than_items(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [4, 5, 6, 7]
 
 
+def test_leaks_of_items_without_id(spark, awkward):
+    item = BASE.split()
+    bench = spark.createDataFrame([(None, " ".join(item[5:45])), (None, "two words"), (1, " ".join(item[10:40]))], "item_id bigint, text string")
+    found = counted(decontaminate.find_leaks(awkward, bench).filter("doc_id in (1, 8)"), "doc_id", "item_id", "start_word")
+    assert found == Counter([(1, 1, 10), (1, None, 5), (8, None, 0)])
+    assert sorted((r.doc_id or 0) for r in decontaminate.without_leaks(awkward, bench).collect()) == [0, 0, 4, 5, 6, 7, 10, 10, 11, 12, 14]
+
+
 def test_index_finds_all_within_radius():
     import numpy as np
 
