@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Only for sessions without spark.checkpoint.dir, that is in tests and on one machine.
+#: Only for sessions on one machine without spark.checkpoint.dir, that is in tests.
 LOCAL_SHARED = "file:///tmp/confab-shared"
 #: Hexadecimal digits of a rank's bucket; 16^3 buckets a group keep windows short whatever the group's size.
 BUCKET_DIGITS = 3
@@ -26,7 +29,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_confab_shipped", False):
         return
     top = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / "confab_package.zip"
+    folder = tempfile.mkdtemp()  # the driver serves the file from there as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "confab_package.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(top.rglob("*.py")):
             out.write(source, source.relative_to(top.parent))
@@ -46,23 +51,78 @@ def shipped(f: Callable) -> Callable:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share. Off one machine there is no default: executors couldn't see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's Python ends."""
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/confab-{context.applicationId}"
+    if getattr(context, "_confab_folder", None) != path:
+        context._confab_folder = path
+        atexit.register(_released, spark, path)
+    return path
+
+
+def _released(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        removed(spark, path)
+
+
+class Scratch:
+    """Tables of one operator's run in the shared folder; those that no result reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df`` written to a table of its own and read back: later jobs don't repeat its work, and a lost executor costs no more than its running tasks."""
+        path = f"{own_folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                removed(self.spark, path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*(t for t, _ in list(self.paths.values()) if id(t) not in kept))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote, through the file system it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to a table of its own in the shared folder and read back: later jobs don't repeat its work, and a lost executor costs no more than its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table that stays for the result's sake."""
+    return Scratch(df.sparkSession).table(df, tag)
+
+
+def free_names(df: DataFrame, *wishes: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each wish."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for wish in wishes:
+        while wish.lower() in taken:
+            wish = f"_{wish}"
+        taken.add(wish.lower())
+        out.append(wish)
+    return out
 
 
-def free_name(df: DataFrame, wish: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    while wish.lower() in {c.lower() for c in df.columns}:
-        wish = f"_{wish}"
-    return wish
+def text_key(text: Column) -> Column:
+    """128 bits of a text as one hexadecimal text; null and empty pass for equal."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def rank_key(*cols: Column) -> Column:
@@ -75,17 +135,17 @@ def running(df: DataFrame, group: str, key: str, ties: list[str], weight: Column
 
     ``key`` holds a rank_key. Each group is cut into buckets by the key's first digits: sums of the buckets (one small
     row each, map-side combined) give every bucket's offset, windows within the buckets the rest, so that no task
-    sees a whole group. Null groups are a group.
+    sees a whole group as long as its keys differ: rows of one key share a bucket. Null groups are a group.
     """
-    bucket, base, own = "_bucket", "_base", "_own"
+    bucket, own, total, g, b, base, inner = free_names(df, "_bucket", "_own", "_sum", "_g", "_b", "_base", "_in")
     cut = df.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS)).withColumn(own, weight.cast("bigint"))
-    sums = cut.groupBy(group, bucket).agg(F.sum(own).alias("_sum"))
+    sums = cut.groupBy(group, bucket).agg(F.sum(own).alias(total))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(base))
+    offsets = sums.select(F.col(group).alias(g), F.col(bucket).alias(b), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(group, bucket).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cut.withColumn("_in", F.coalesce(F.sum(own).over(within), F.lit(0)))
-    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(bucket) == F.col("_b")))
-    return joined.withColumn(name, F.col("_in") + F.col(base)).drop(bucket, base, own, "_in", "_g", "_b")
+    ranked = cut.withColumn(inner, F.coalesce(F.sum(own).over(within), F.lit(0)))
+    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col(g)) & (F.col(bucket) == F.col(b)))
+    return joined.withColumn(name, F.col(inner) + F.col(base)).drop(bucket, base, own, inner, g, b)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

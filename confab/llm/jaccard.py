@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, sorted-array intersection; links as components.
 
-1. A document's sorted shingle hashes make its set; equal sets share a node. In one order of all shingles (those that a sample finds
-   frequent last, else from rare to frequent by a sketch of counts, else by hash) a set's first n - ceil(t n) + 1 shingles are its
-   prefix: two sets at similarity t share a shingle of their prefixes. What the sketch counts once is in one text only and
-   goes no further. Under each shingle and size band nodes join the group of the smallest, so that every pair that could link
-   meets in some group.
+1. A document's sorted shingle hashes make its set; equal sets share a node. In one order of all shingles a set's first
+   n - ceil(t n) + 1 shingles are its prefix: two sets at similarity t share a shingle of their prefixes. The order goes by
+   exact counts: of each set the shingles with the lowest hashes, COUNTED times as many as the prefix takes, are dealt by shingle, and
+   what more than one set has goes back to its nodes with its count, the rarest first. Shingles beyond those follow by hash, and last
+   come those that a sample finds frequent. Under each shared shingle of the prefixes and each size band nodes join the group of
+   the smallest, so that every pair that could link meets in some group. Nothing that is held or broadcast grows with the
+   number of shingles.
 2. Groups are cut into tiles by size band and slice. Tiles of neighbouring bands are compared through bitmaps of the
    sets: each bit that only one side has is a shingle the other lacks, which bounds the overlap from above. Each tile meets
    the bands' first tiles, and nodes that pass with nobody there meet all tiles. Those without a partner then leave.
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from confab.llm.common import groups, staged
+from confab.llm.common import Scratch, free_names, groups, text_key
 from confab.llm.components import components
-from confab.llm.texts import WordHash, bitmap, shingle_set, signed, texts_of
+from confab.llm.texts import MIX, WordHash, bitmap, mixed, shingle_set, signed, texts_of
 
 #: Nodes of a tile.
 TILE = 256
@@ -34,14 +36,15 @@ TILE = 256
 SALTS = 64
 #: Least bits of a signature.
 SIGNATURE = 256
-#: Bits of the bitmap that picks texts for exact comparison, and of one chunk of it.
-CELLS, CHUNK = 1 << 26, 1 << 16
-#: Documents sampled for frequent shingles, and in how many of those a shingle must occur to be one. Only the order depends on it, no link.
-SAMPLE, FREQUENT = 10_000, 4
-#: Cells of the sketch of shingle counts (two bits each, 16 MB for any input), and the counts that its levels 1 to 3 start at.
-COUNTED, LEVELS = 1 << 26, (2, 4, 16)
-#: A partition's counts are sent on when it holds so many shingles.
-HELD = 1 << 20
+#: Documents sampled for frequent shingles, in how many of those a shingle must occur to be one, and how many are told apart at most
+#: (the most frequent). Only the order depends on it, no link.
+SAMPLE, FREQUENT, MOST = 10_000, 4, 1 << 16
+#: Shingles of a set that are counted, as a multiple of its prefix.
+COUNTED = 2.0
+#: Members of a frequent shingle that are dealt to one place.
+DEALT = 4096
+#: Bits for each wanted document of the filter that picks texts for exact comparison, and the most bits that are broadcast; beyond that all sets go to the join that decides.
+WANTED_BITS, MOST_BITS = 16, 1 << 29
 
 
 def _set(words: WordHash, text: bytes, n: int) -> np.ndarray:
@@ -49,101 +52,50 @@ def _set(words: WordHash, text: bytes, n: int) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    words, held = WordHash(), []
+    words = WordHash()
     for batch in batches:
-        for text in texts_of(batch):
-            own = _set(words, text, n)
-            held.append(own[: len(own) // 2 + 1])  # prefixes lie in the lower part of the hashes
-    if held:
-        at, times = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(at)), pa.array(times)], names=["s", "n"])
-
-
-def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of shingles in at least FREQUENT of about SAMPLE documents: their number is bounded by the sample's words."""
-    share = SAMPLE / max(1, docs.count())
-    body = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")).filter(F.col("h") < int(min(1.0, share) * (1 << 30))).select("text")
-    counts = body.mapInArrow(lambda b: _sampled(b, n), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    return np.sort(counts.select("s").toArrow().column("s").to_numpy().view(np.uint64))
+        held = [own[: len(own) // 2 + 1] for t in texts_of(batch) if len(own := _set(words, t, n))]  # prefixes lie in the lower part of the hashes
+        if held:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(at)), pa.array(times)], names=["s", "n"])
 
 
 def counted_below(threshold: float) -> np.uint64:
-    """Shingles with hashes below it are counted: two and a half times as many of a set's as its prefix takes."""
-    return np.uint64(min(int(max(0.125, 2.5 * (1 - threshold)) * 2.0**64), 2**64 - 1))
-
-
-def _counted(batches: Iterator[pa.RecordBatch], n: int, below: np.uint64) -> Iterator[pa.RecordBatch]:
-    """chunk, low, times: a partition's counts of documents by cell, as 16-bit offsets in the chunk and bytes."""
-    words, held, size = WordHash(), [], 0
-
-    def emitted() -> pa.RecordBatch:
-        at, times = np.unique(np.concatenate(held) & np.uint64(COUNTED - 1), return_counts=True)
-        chunk, low, few = (at // np.uint64(CHUNK)).astype(np.int32), (at % np.uint64(CHUNK)).astype("<u2"), np.minimum(times, 255).astype(np.uint8)
-        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([few[a:b].tobytes() for a, b in cuts], pa.binary())], names=["chunk", "low", "times"])
-
-    for batch in batches:
-        for text in texts_of(batch):
-            own = _set(words, text, n)
-            own = own[: np.searchsorted(own, below)]
-            if len(own):
-                held.append(own)
-                size += len(own)
-            if size >= HELD:
-                yield emitted()
-                held, size = [], 0
-    if size:
-        yield emitted()
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk, low, high: the two bits of each cell's level as bitmaps. Batches come sorted by chunk; one chunk's counts are held."""
-    counts, last = np.zeros(CHUNK, np.int64), None
-    schema = pa.schema([("chunk", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
-
-    def done() -> pa.RecordBatch:
-        level = np.searchsorted(LEVELS, counts, side="right")
-        return pa.RecordBatch.from_pydict({"chunk": [last], "low": [np.packbits(level & 1, bitorder="little").tobytes()], "high": [np.packbits(level >> 1, bitorder="little").tobytes()]}, schema=schema)
-
-    for batch in batches:
-        for chunk, low, times in zip(batch.column("chunk").to_pylist(), batch.column("low"), batch.column("times"), strict=True):
-            if last is not None and chunk != last:
-                yield done()
-                counts[:] = 0
-            last = chunk
-            counts[np.frombuffer(low.as_py(), "<u2")] += np.frombuffer(times.as_py(), np.uint8)
-    if last is not None:
-        yield done()
-
-
-def shingle_levels(docs: DataFrame, n: int, threshold: float) -> np.ndarray:
-    """Two bitmaps of COUNTED bits, the low and the high bit of the level of each cell's count; counts never fall below a shingle's true one."""
-    below = counted_below(threshold)
-    parts = docs.select("text").mapInArrow(lambda b: _counted(b, n, below), "chunk int, low binary, times binary")
-    rows = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_levels, "chunk int, low binary, high binary").toArrow()
-    out, step = np.zeros((2, COUNTED // 8), np.uint8), CHUNK // 8
-    for chunk, *bits in zip(*(rows.column(c).to_pylist() for c in ("chunk", "low", "high")), strict=True):
-        for plane, own in zip(out, bits, strict=True):
-            plane[chunk * step : (chunk + 1) * step] = np.frombuffer(own, np.uint8)
-    return out
+    """Shingles with hashes below it are counted."""
+    return np.uint64(min(int(COUNTED * (1 - threshold) * 2.0**64), 2**64 - 1))
 
 
 class Order:
-    """One order of all shingles: by rank, then hash. Rank 0: in one text at most."""
+    """One order of all shingles: the counted ones (by count, then hash), the others (by hash), the frequent ones (by rank, then hash). ``parts``: what the frequent ones' members are dealt in."""
+
+    def __init__(self, frequent: np.ndarray, times: np.ndarray, each: float):
+        order = np.argsort(frequent)
+        self.frequent = frequent[order]
+        self.rank = 2 + np.floor(np.log2(np.maximum(times[order], 1))).astype(np.int64)
+        self.parts = np.ceil(times[order] * each / DEALT).astype(np.int32)
+
+    def split(self, own: np.ndarray, threshold: float) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a sorted set: how many counted shingles its prefix takes, the counted ones, the others and the frequent ones of the prefix, and the latter's parts."""
+        size = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
+        rank = (own >= counted_below(threshold)).astype(np.int64)
+        at = rank
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, own), len(self.frequent) - 1)
+            rank = np.where(self.frequent[at] == own, self.rank[at], rank)
+        counted = own[rank == 0]
+        known = np.argsort(rank, kind="stable")[len(counted) : size]
+        many = rank[known] > 1
+        return min(size, len(counted)), counted, own[known[~many]], own[known[many]], self.parts[at[known[many]]] if many.any() else self.parts[:0]
 
-    def __init__(self, frequent: np.ndarray, planes: np.ndarray, below: np.uint64):
-        self.frequent, self.planes, self.below = frequent, planes, below
 
-    def ranks(self, own: np.ndarray) -> np.ndarray:
-        cell = own & np.uint64(COUNTED - 1)
-        at, shift = (cell >> np.uint64(3)).astype(np.int64), (cell & np.uint64(7)).astype(np.uint8)
-        low, high = ((plane[at] >> shift) & 1 for plane in self.planes)
-        rank = np.where(own < self.below, low + 2 * high, len(LEVELS) + 1)
-        if len(self.frequent):
-            near = np.minimum(np.searchsorted(self.frequent, own), len(self.frequent) - 1)
-            rank[self.frequent[near] == own] = len(LEVELS) + 2
-        return rank
+def shingle_order(docs: DataFrame, n: int) -> Order:
+    """The order, from a sample of about SAMPLE rows drawn one by one; MOST rows reach the driver at most."""
+    every = max(1, docs.count())
+    share = min(1.0, SAMPLE / every)
+    rows = docs.select("text") if share == 1 else docs.select("text").sample(False, share, 11)
+    counts = rows.mapInArrow(lambda b: _sampled(b, n), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    got = counts.orderBy(F.desc("n"), "s").limit(MOST).toArrow()
+    return Order(got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy(), 1 / share)
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -156,36 +108,103 @@ def folded(marks: np.ndarray, lanes: int) -> np.ndarray:
     return np.bitwise_or.reduce(marks.reshape(len(marks), -1, lanes), axis=1)
 
 
-def prefix(own: np.ndarray, order: Order, threshold: float) -> np.ndarray:
-    """The prefix, without what no other text has."""
-    size = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
-    ranks = order.ranks(own)
-    first = np.argsort(ranks, kind="stable")[:size]
-    return own[first[ranks[first] > 0]]
-
-
 def _node(own: np.ndarray) -> int:
     """A set's 63-bit name."""
     return xxh3_64_intdigest(own.tobytes()) >> 1
 
 
+LISTED = "doc_id {kind}, key string, node bigint, n bigint, sig binary, open int, counted array<bigint>, rare array<bigint>, common array<bigint>, parts array<int>"
+
+
 def _listed(batches: Iterator[pa.RecordBatch], held, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Every document's node and set size; a partition's first document of a node also brings its signature and prefix, if any of that is left."""
+    """Every document's node and set size; a partition's first document of a node also brings its signature and what may be its prefix."""
     words, seen = WordHash(), set()
+    lists, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for batch in batches:
-        nodes, sizes, marks, prefixes = [], [], [], []
+        rows = []
         for text in texts_of(batch):
             own = _set(words, text, n)
             node = _node(own) if len(own) else None
-            new = node is not None and node not in seen
-            if new:
-                seen.add(node)
-            nodes.append(node)
-            sizes.append(len(own))
-            first = prefix(own, held.value, threshold) if new else ()
-            marks.append(signature(own).tobytes() if len(first) else None)
-            prefixes.append(signed(first) if len(first) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "rk", "node", "n", "sig", "prefix"])
+            if node is None or node in seen:
+                rows.append((node, len(own), *[None] * 6))
+                continue
+            seen.add(node)
+            few, counted, rare, common, parts = held.value.split(own, threshold)
+            rows.append((node, len(own), signature(own).tobytes(), few, *(signed(c) if len(c) else None for c in (counted, rare, common)), parts if len(parts) else None))
+        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), lists, lists, lists, ints]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "key", "node", "n", "sig", "open", "counted", "rare", "common", "parts"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows that share their ``s`` with another row, from rows sorted by it; a run comes whole. What is held is a batch and the run that its end cuts."""
+    parts: list[list[np.ndarray]] = []
+
+    def shared() -> Iterator[list[np.ndarray]]:
+        rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        same = rows[0][1:] == rows[0][:-1]
+        more = np.r_[False, same] | np.r_[same, False]
+        if more.any():
+            yield [c[more] for c in rows]
+
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in names]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut or (parts and parts[-1][0][-1] != rows[0][0]):
+            parts.append([c[:cut] for c in rows])
+            yield from shared()
+            parts = []
+        parts.append([c[cut:] for c in rows])
+    if parts:
+        yield from shared()
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, s, level: shingles of more than one node go back to each, with their count's binary logarithm."""
+    for s, node in _runs(batches, ("s", "node")):
+        order = np.lexsort((node, s))
+        s, node = s[order], node[order]
+        new = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])]
+        s, node = s[new], node[new]
+        _, at, times = np.unique(s, return_inverse=True, return_counts=True)
+        times = times[at]
+        kept = times > 1
+        if kept.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(s[kept]), pa.array(np.log2(times[kept]).astype(np.int32))], names=["node", "s", "level"])
+
+
+def bands(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Sets of similarity ``threshold`` lie in the same or neighbouring bands; these are a little wider, against rounding."""
+    return np.floor(np.log(n) / max(0.01, math.log(1 / threshold) * (1 + 1e-6))).astype(np.int64)
+
+
+def grouped(s: np.ndarray, node: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """g, node, n: every node with another one under its shingle and in its band or the next, in the group of the smallest of them."""
+    own = bands(n, threshold)
+    s, node, n, j = np.r_[s, s], np.r_[node, node], np.r_[n, n], np.r_[own, own + 1]
+    order = np.lexsort((node, j, s))
+    s, node, n, j = s[order], node[order], n[order], j[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (j[1:] != j[:-1])]
+    head = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    least, most = node[head], node[np.r_[head[1:], len(node)] - 1]
+    kept = (least < most)[run]
+    g = signed(mixed(least[run][kept].view(np.uint64) * MIX[0] ^ j[kept].view(np.uint64)) >> np.uint64(1))
+    node, n = node[kept], n[kept]
+    order = np.lexsort((node, g))
+    g, node, n = g[order], node[order], n[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1])] if len(g) else np.zeros(0, bool)
+    return g[new], node[new], n[new]
+
+
+def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """g, node, n from rows (s, node, n) sorted by s."""
+    for rows in _runs(batches, ("s", "node", "n")):
+        found = grouped(*rows, threshold)
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["g", "node", "n"])
 
 
 class Links:
@@ -315,9 +334,10 @@ def facing(left: DataFrame, right: DataFrame) -> DataFrame:
     cols = lambda rows: rows.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n")
     single = cols(right.filter("tiles = 0")).select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n")
     left, right = left.filter("tiles > 0"), right.filter("tiles > 0")
-    near = lambda tiles, name: tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s"))
-    a = cols(left).join(near(right, "r"), ["g", "at"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n")
-    b = cols(right).join(near(left, "l"), ["g", "at"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n")
+    near = lambda tiles, name: salted(tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s")))
+    part = lambda tiles: cols(tiles).withColumn("salt", salt())
+    a = part(left).join(near(right, "r"), ["g", "at", "salt"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n")
+    b = part(right).join(near(left, "l"), ["g", "at", "salt"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n")
     return single.unionByName(a).unionByName(b)
 
 
@@ -326,32 +346,31 @@ def dealt(pairs: DataFrame, loads: DataFrame) -> DataFrame:
     return pairs.join(loads, "node").repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk, bits: a chunk's cells as a bitmap."""
-    for t in groups(batches, ["chunk"]):
-        flags = np.zeros(CHUNK, np.uint8)
-        flags[t.column("low").to_numpy()] = 1
-        yield pa.RecordBatch.from_pydict({"chunk": [t.column("chunk")[0].as_py()], "bits": [np.packbits(flags, bitorder="little").tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+def wanted_filter(keys: DataFrame) -> tuple[np.ndarray | None, int]:
+    """A bitmap of about WANTED_BITS bits for each row of ``keys`` (key) that has every key and few others, and its size; None where it would be larger than MOST_BITS."""
+    bits = 1 << max(16, (keys.count() * WANTED_BITS - 1).bit_length())
+    if bits > MOST_BITS:
+        return None, bits
+    cells = keys.select(cell(F.col("key"), bits).alias("cell")).distinct().groupBy(F.call_function("div", F.col("cell"), F.lit(1 << 16)).alias("chunk")).agg(F.collect_list((F.col("cell") % (1 << 16)).cast("int")).alias("low"))
+    out = np.zeros(bits, bool)
+    for row in cells.toLocalIterator():
+        out[(row["chunk"] << 16) + np.array(row["low"])] = True
+    return np.packbits(out, bitorder="little"), bits
 
 
-def rough_members(keys: DataFrame) -> np.ndarray:
-    """A bitmap of CELLS bits (8 MB for any input) that has every key of ``keys`` (rk), and with a chance that grows with their number others."""
-    cell = F.pmod(F.xxhash64("rk"), F.lit(CELLS))
-    cells = keys.select(F.call_function("div", cell, F.lit(CHUNK)).cast("int").alias("chunk"), (cell % CHUNK).cast("int").alias("low"))
-    rows = cells.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_bits, "chunk int, bits binary").toArrow()
-    out = np.zeros(CELLS // 8, np.uint8)
-    for chunk, bits in zip(rows.column("chunk").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[chunk * (CHUNK // 8) : (chunk + 1) * (CHUNK // 8)] = np.frombuffer(bits, np.uint8)
-    return out
+def cell(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)).cast("bigint")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], marks, n: int) -> Iterator[pa.RecordBatch]:
-    """node, load: sets of documents that the bitmap may know. Their texts stay where they are; what the bitmap got wrong goes in a join by node."""
+    """node, load: sets of documents that the filter may know. Their texts stay where they are; what it got wrong goes in a join by node."""
     words = WordHash()
     for batch in batches:
-        cells = batch.column("cell").to_numpy()
-        known = (marks.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
-        own = [s for t in texts_of(batch.filter(pa.array(known.astype(bool)))) if len(s := _set(words, t, n))]
+        if marks is not None:
+            cells = batch.column("cell").to_numpy()
+            known = (marks.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(known.astype(bool)))
+        own = [s for t in texts_of(batch) if len(s := _set(words, t, n))]
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in own], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in own], pa.binary())], names=["node", "load"])
 
@@ -364,69 +383,102 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     shingles are compared by 64-bit hashes. Repeated rows and equal texts share a node, and null doc_ids never name a
     component that has others.
     """
-    return _components(docs, n, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows, named = _components(docs, n, threshold)
+    smallest = named.select("node", F.col("least.doc_id").alias("component_id"))
+    linked = rows.filter("node is not null").join(smallest, "node")
+    single = rows.filter("node is null").withColumn("component_id", F.col("doc_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(single.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def memberships(listed: DataFrame, threshold: float) -> DataFrame:
+    """g, node, n: the groups in which all nodes meet that share a shingle of their prefixes and could be similar by their sizes."""
+    by_shingle = lambda rows: rows.repartition("s").sortWithinPartitions("s")
+    counted = by_shingle(listed.filter("counted is not null").select(F.explode("counted").alias("s"), "node"))
+    back = counted.mapInArrow(_counts, "node bigint, s bigint, level int")
+    # Those that no other node has come first in the order. They aren't sent back, but they fill the prefix.
+    info = listed.filter("counted is not null").select("node", "n", "open", F.size("counted").alias("all")).dropDuplicates(["node"])
+    own = Window.partitionBy("node")
+    placed = back.withColumns({"place": F.row_number().over(own.orderBy("level", "s")), "shared": F.count(F.lit(1)).over(own)})
+    first = placed.join(info, "node").filter(F.col("place") + F.col("all") - F.col("shared") <= F.col("open")).select("s", "node", "n")
+    rare = listed.filter("rare is not null").select(F.explode("rare").alias("s"), "node", "n")
+    few = by_shingle(first.unionByName(rare)).mapInArrow(lambda b: _met(b, threshold), "g bigint, node bigint, n bigint")
+    # A frequent shingle's members are too many for one place: each band's smallest one is found by partial minima and sent to all of its parts.
+    pairs = F.explode(F.arrays_zip(F.col("common").alias("s"), F.col("parts").alias("parts"))).alias("c")
+    own = band(F.col("n"), threshold)
+    common = listed.filter("common is not null").select(pairs, "node", "n").select("c.s", "c.parts", "node", "n", F.explode(F.array(own, own + 1)).alias("j"))
+    least = common.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("parts").alias("parts")).filter("least < most")
+    spread = least.select("s", "j", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = common.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("node")), F.col("parts")).cast("int")).join(spread, ["s", "j", "part"])
+    return few.unionByName(many.select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node", "n")).distinct()
 
 
-def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """doc_id, rk (the doc_id, or a hash of the text where there is none), n, component_id."""
+def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key (128 bits of the text), node and n of every row, and for every node its label and the least row (null ids last) of its component."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in 0.5 to 1")
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("rk"))
-    held = spark.sparkContext.broadcast(Order(frequent_shingles(docs, n), shingle_levels(docs, n, threshold), counted_below(threshold)))
+    scratch = Scratch(spark)
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    order = spark.sparkContext.broadcast(shingle_order(docs, n))
     kind = dict(docs.dtypes)["doc_id"]
-    listed = staged(rows.mapInArrow(lambda b: _listed(b, held, n, threshold), f"doc_id {kind}, rk bigint, node bigint, n bigint, sig binary, prefix array<bigint>"), "sets")
-
-    keyed = listed.filter("prefix is not null").select("node", F.explode("prefix").alias("s"))
-    first = listed.filter("sig is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    twice = keyed.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("s")
-    # Only shared shingles go on, under their own band and the next, so that sizes too far apart don't meet.
-    own = band(F.col("n"), threshold)
-    shared = staged(keyed.join(twice, "s").join(first.select("node", "n"), "node").select("node", "s", F.explode(F.array(own, own + 1)).alias("j")), "shared")
-    least = shared.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    members = shared.join(least, ["s", "j"]).select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node").distinct()
-    tiles = staged(tiled(members.join(first.select("node", "n"), "node"), threshold), "members")
-    sigs = first.select("node", F.col("sig").alias("load"))
+    listed = scratch.table(rows.mapInArrow(lambda b: _listed(b, order, n, threshold), LISTED.format(kind=kind)), "sets")
+    order.destroy()
+    first = listed.filter("sig is not null")
+
+    members = scratch.table(memberships(listed, threshold), "members")
+    tiles = scratch.table(tiled(members, threshold), "tiles")
+    scratch.drop(members)
+    # Partitions may each have brought a node.
+    sigs = scratch.table(first.select("node", F.col("sig").alias("load")).join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signatures")
     screened = lambda left, right: dealt(facing(left, right), sigs).mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint")
-    able = staged(screened(tiles.filter("slice = 0"), tiles).distinct(), "able")
-    unmet = staged(tiles.filter("tiles > 0").join(able, ["g", "node"], "left_anti"), "unmet")
+    able = scratch.table(screened(tiles.filter("slice = 0"), tiles).distinct(), "able")
+    unmet = scratch.table(tiles.filter("tiles > 0").join(able, ["g", "node"], "left_anti"), "unmet")
     if not unmet.isEmpty():
-        met = screened(unmet, tiles.join(unmet.select("g").distinct(), "g"))
-        able = staged(able.unionByName(met).distinct(), "able")
-    wanted = able.select("node").distinct().join(first.select("node", "n", "rk"), "node")
-    marks = spark.sparkContext.broadcast(rough_members(wanted.select("rk")))
-    found = rows.select(F.pmod(F.xxhash64("rk"), F.lit(CELLS)).cast("bigint").alias("cell"), "text").mapInArrow(lambda b: _sets(b, marks, n), "node bigint, load binary")
-    sets = staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "able-sets")
+        again = tiles.withColumn("salt", salt()).join(salted(unmet.select("g").distinct()), ["g", "salt"]).drop("salt")
+        able = scratch.table(able.unionByName(screened(unmet, again)).distinct(), "able")
+    wanted = scratch.table(able.select("node").distinct().join(tiles.select("node", "n").distinct(), "node"), "wanted")
+    scratch.keep_only(listed, able, wanted)
+
+    keys = listed.filter("node is not null").select("node", "key").distinct().join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    bitmap_, bits = wanted_filter(keys)
+    marks = None if bitmap_ is None else spark.sparkContext.broadcast(bitmap_)
+    found = rows.select(cell(F.col("key"), bits).alias("cell"), "text").mapInArrow(lambda b: _sets(b, marks, n), "node bigint, load binary")
+    sets = scratch.table(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "able-sets")
     # Groups that share a node become one, so that a set travels once.
-    whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "g")
-    loaded = staged(tiled(wanted.select("node", "n").join(whole, "node"), threshold), "tiles")
+    whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b")), scratch).withColumnRenamed("label", "g")
+    loaded = scratch.table(tiled(wanted.join(whole, "node"), threshold), "loaded")
+    scratch.keep_only(listed, sets, loaded)
     verified = lambda left, right: dealt(facing(left, right), sets).mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint")
-    tight = staged(verified(loaded.filter("slice = 0"), loaded), "links")
-
-    labels = components(tight)
-    placed = loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tight = scratch.table(verified(loaded.filter("slice = 0"), loaded), "links")
+    labels = scratch.table(components(tight, scratch), "labels")
+    placed = scratch.table(loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
     main = placed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
-    apart = staged(placed.withColumn("salt", salt()).join(salted(main), ["g", "salt"]).filter("label <> main").select("g", "node"), "apart")
+    apart = scratch.table(placed.withColumn("salt", salt()).join(salted(main), ["g", "salt"]).filter("label <> main").select("g", "node"), "apart")
     if not apart.isEmpty():
         rest = loaded.join(apart, ["g", "node"])
-        more = verified(rest, loaded.join(apart.select("g").distinct(), "g"))
-        labels = components(tight.unionByName(more))
+        again = loaded.withColumn("salt", salt()).join(salted(apart.select("g").distinct()), ["g", "salt"]).drop("salt")
+        labels = scratch.table(components(tight.unionByName(verified(rest, again)), scratch), "labels")
 
-    ids = listed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
-    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("own").alias("component_id"))
-    by_node = named.select("node", "label").join(smallest, "label").select("node", "component_id")
-    some = listed.filter("node is not null").select("doc_id", "rk", "n", "node").join(by_node, "node").select("doc_id", "rk", "n", "component_id")
-    none = listed.filter("node is null").select("doc_id", "rk", "n", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    # The least row of each node, then of each component; both by partial minima.
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    own = listed.filter("node is not null").groupBy("node").agg(F.min(at).alias("own")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = own.groupBy("label").agg(F.min("own").alias("least"))
+    named = scratch.table(own.select("node", "label").join(least, "label"), "named")
+    if marks is not None:
+        marks.destroy()
+    scratch.keep_only(listed, named)
+    return listed.select("doc_id", "key", "node", "n"), named
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that stand for their component: those with its smallest doc_id.
+    """The rows of ``docs``, all columns as they are, that stand for their component: one row each, that with its smallest doc_id.
 
-    Of rows that agree in doc_id and text one stays. Empty texts link with nothing and stay. Rows without a doc_id stay, one a
-    text, where their component has no document with one.
+    Null doc_ids come last. Of a component's texts under one doc_id, or of all its texts where none has one, the one whose MD5 is
+    smallest stays, and of rows that agree in doc_id and text one. Empty texts link with nothing: each doc_id keeps one.
     """
-    standing = _components(docs, n, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("_rk")).distinct()
-    rows = docs.withColumn("_rk", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))).withColumn("_text", F.xxhash64("text"))
-    return rows.join(standing, "_rk", "left_semi").dropDuplicates(["_rk", "_text"]).select(*docs.columns)
+    rows, named = _components(docs, n, threshold)
+    none = rows.filter("node is null").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("least"))
+    missing, own, key = free_names(docs, "_missing", "_own", "_key")
+    standing = named.select("least").unionByName(none).distinct().select(F.col("least.none").alias(missing), F.coalesce("least.doc_id", F.lit(0)).alias(own), F.col("least.key").alias(key))
+    keyed = docs.withColumns({missing: F.col("doc_id").isNull(), own: F.coalesce("doc_id", F.lit(0)), key: text_key(F.col("text"))})
+    return keyed.join(standing, [missing, own, key], "left_semi").dropDuplicates([missing, own, key]).select(*docs.columns)

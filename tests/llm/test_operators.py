@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confab.llm import decontaminate, jaccard, mixing, quality, repeats, secret_scan, sharding, token_count, toxicity, url_filter
+from confab.llm.common import Scratch
 from confab.llm.components import components
 from confab.llm.queries import QUERIES, SQL, training_labels
 
@@ -85,8 +86,9 @@ def test_near_duplicates(awkward, empty):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
 
 
 def brute_repeats(rows):
