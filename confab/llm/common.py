@@ -23,8 +23,13 @@ LOCAL_SHARED = "file:///tmp/confab-shared"
 BUCKET_DIGITS = 3
 
 
+#: Bytes of a batch that goes to Python: long texts make batches of few rows, and a worker's memory doesn't follow the rows' sizes.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this session's executors the package, once; they may start elsewhere than in its folder."""
+    """Gives this session's executors the package, once; they may start elsewhere than in its folder. Batches for Python are held to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_confab_shipped", False):
         return
@@ -125,6 +130,11 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rank_key(*cols: Column) -> Column:
     """A text that orders rows pseudorandomly and alike on every run; nulls count as empty."""
     return F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))

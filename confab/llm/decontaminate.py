@@ -29,6 +29,8 @@ BLOCKS = 6
 #: Items an index holds; a larger benchmark is searched for in so many passes.
 MAX_ITEMS = 5_000
 FILTER_BITS = 22
+#: Windows of a text that are compared at a time; bounds the memory that a long text takes.
+STEP = 1 << 14
 
 
 def bit_rows(hashes: np.ndarray) -> np.ndarray:
@@ -104,6 +106,23 @@ class ItemIndex:
                 if (int(prints[w]) ^ int(self.prints[item])).bit_count() <= self.radius:
                     yield w, item
 
+    def _near_windows(self, hashes: np.ndarray, hits: np.ndarray, classes: list[tuple[int, int]], size: int, lo: int) -> Iterator[tuple[int, int, int]]:
+        """(width, start, item number) of the candidates among the windows that start in ``lo`` to ``lo`` + STEP and hold a benchmark shingle."""
+        votes = None
+        for m, width in classes:
+            hi = min(lo + STEP, len(hits) - width)
+            starts = lo + np.flatnonzero(hits[lo + width : hi + width] > hits[lo:hi]) if hi > lo else hits[:0]
+            if not len(starts):
+                continue
+            if votes is None:
+                longest = max(w for _, w in classes)
+                own = bit_rows(hashes[lo : lo + STEP + longest])
+                votes = np.zeros((len(own) + 1, BITS), np.int32)
+                np.cumsum(own, axis=0, out=votes[1:])
+            prints = packed(votes[starts - lo + width] - votes[starts - lo])
+            for w, item in self.candidates(prints, self.members[(size, m)]):
+                yield width, int(starts[w]), item
+
     def search(self, words: np.ndarray) -> list[tuple[int | None, int, float]]:
         """(item, start, similarity) of the best window of each item found in a text's word hashes, by item, null last; the first on ties."""
         best: dict[int, tuple[float, int]] = {}
@@ -116,20 +135,9 @@ class ItemIndex:
             if not hit.any():
                 continue
             hits = np.r_[0, np.cumsum(hit)]
-            votes = None
-            for s, m in self.classes:
-                width = min(m, len(hashes))
-                if s != size or width / m < self.threshold:
-                    continue
-                starts = np.flatnonzero(hits[width:] > hits[:-width])
-                if not len(starts):
-                    continue
-                if votes is None:
-                    votes = np.zeros((len(hashes) + 1, BITS), np.int32)
-                    np.cumsum(bit_rows(hashes), axis=0, out=votes[1:])
-                prints = packed(votes[starts + width] - votes[starts])
-                for w, item in self.candidates(prints, self.members[(s, m)]):
-                    at = int(starts[w])
+            classes = [(m, min(m, len(hashes))) for s, m in self.classes if s == size and min(m, len(hashes)) / m >= self.threshold]
+            for lo in range(0, len(hashes), STEP):
+                for width, at, item in self._near_windows(hashes, hits, classes, size, lo):
                     sim = similarity(hashes[at : at + width], self.sets[item])
                     if sim >= self.threshold and (sim, -at) > (best.get(item, (0.0, 0))[0], -best.get(item, (0.0, 0))[1]):
                         best[item] = (sim, at)

@@ -54,7 +54,7 @@ def _set(words: WordHash, text: bytes, n: int) -> np.ndarray:
 def _sampled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = WordHash()
     for batch in batches:
-        held = [own[: len(own) // 2 + 1] for t in texts_of(batch) if len(own := _set(words, t, n))]  # prefixes lie in the lower part of the hashes
+        held = [own for t in texts_of(batch) if len(own := _set(words, t, n))]
         if held:
             at, times = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(at)), pa.array(times)], names=["s", "n"])
@@ -180,31 +180,33 @@ def bands(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(np.log(n) / max(0.01, math.log(1 / threshold) * (1 + 1e-6))).astype(np.int64)
 
 
-def grouped(s: np.ndarray, node: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """g, node, n: every node with another one under its shingle and in its band or the next, in the group of the smallest of them."""
+def grouped(s: np.ndarray, node: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """g, node, n, home: every node under its shingle in its own band's group, where it is at home, and in the next one's. Groups are named after
+    their smallest node; those of one node, or with nobody at home, have no pair that doesn't meet elsewhere."""
     own = bands(n, threshold)
+    home = np.r_[np.ones(len(s), np.int32), np.zeros(len(s), np.int32)]
     s, node, n, j = np.r_[s, s], np.r_[node, node], np.r_[n, n], np.r_[own, own + 1]
     order = np.lexsort((node, j, s))
-    s, node, n, j = s[order], node[order], n[order], j[order]
+    s, node, n, j, home = s[order], node[order], n[order], j[order], home[order]
     new = np.r_[True, (s[1:] != s[:-1]) | (j[1:] != j[:-1])]
     head = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     least, most = node[head], node[np.r_[head[1:], len(node)] - 1]
-    kept = (least < most)[run]
+    kept = ((least < most) & (np.maximum.reduceat(home, head) > 0))[run]
     g = signed(mixed(least[run][kept].view(np.uint64) * MIX[0] ^ j[kept].view(np.uint64)) >> np.uint64(1))
-    node, n = node[kept], n[kept]
+    node, n, home = node[kept], n[kept], home[kept]
     order = np.lexsort((node, g))
-    g, node, n = g[order], node[order], n[order]
+    g, node, n, home = g[order], node[order], n[order], home[order]
     new = np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1])] if len(g) else np.zeros(0, bool)
-    return g[new], node[new], n[new]
+    return g[new], node[new], n[new], home[new]
 
 
 def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """g, node, n from rows (s, node, n) sorted by s."""
+    """g, node, n, home from rows (s, node, n) sorted by s."""
     for rows in _runs(batches, ("s", "node", "n")):
         found = grouped(*rows, threshold)
         if len(found[0]):
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["g", "node", "n"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["g", "node", "n", "home"])
 
 
 class Links:
@@ -316,7 +318,7 @@ def salted(rows: DataFrame) -> DataFrame:
 
 
 def tiled(members: DataFrame, threshold: float) -> DataFrame:
-    """g, node, n, ... with band, slice and tiles; a group of up to TILE members is one tile, in a larger one each band has a slice for each TILE of its members or so."""
+    """g, node, n, home with band, slice and tiles; a group of up to TILE members is one tile, in a larger one each band has a slice for each TILE of its members or so."""
     banded = members.withColumn("band", band(F.col("n"), threshold))
     counts = banded.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"))
     large = counts.groupBy("g").agg(F.sum("c").alias("all")).filter(F.col("all") > TILE).select("g")
@@ -327,17 +329,17 @@ def tiled(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def facing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands.
+    """Rows of all pairs of a left and a right tile of one group and of the same or neighbouring bands, one of them at home.
 
     A group of one tile comes once, from ``right``. A row's place in a pair is its side.
     """
-    cols = lambda rows: rows.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n")
-    single = cols(right.filter("tiles = 0")).select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n")
+    single = right.filter("tiles = 0").select("g", F.lit(-1).alias("lb"), F.lit(0).alias("ls"), F.lit(-1).alias("rb"), F.lit(0).alias("rs"), F.lit(BOTH).alias("side"), "node", "n")
     left, right = left.filter("tiles > 0"), right.filter("tiles > 0")
-    near = lambda tiles, name: salted(tiles.select("g", "band", "slice").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s")))
-    part = lambda tiles: cols(tiles).withColumn("salt", salt())
-    a = part(left).join(near(right, "r"), ["g", "at", "salt"]).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n")
-    b = part(right).join(near(left, "l"), ["g", "at", "salt"]).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n")
+    rows = lambda tiles: tiles.select("g", F.col("band").alias("at"), F.col("slice").alias("own"), "node", "n", "home", salt())
+    near = lambda tiles, name: salted(tiles.select("g", "band", "slice", "home").distinct().withColumn("at", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).select("g", "at", F.col("home").alias("there"), F.col("band").alias(f"{name}b"), F.col("slice").alias(f"{name}s")))
+    met = lambda tiles, others: tiles.join(others, ["g", "at", "salt"]).filter("home + there > 0")
+    a = met(rows(left), near(right, "r")).select("g", F.col("at").alias("lb"), F.col("own").alias("ls"), "rb", "rs", F.lit(LEFT).alias("side"), "node", "n")
+    b = met(rows(right), near(left, "l")).select("g", "lb", "ls", F.col("at").alias("rb"), F.col("own").alias("rs"), F.lit(RIGHT).alias("side"), "node", "n")
     return single.unionByName(a).unionByName(b)
 
 
@@ -391,7 +393,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
 
 
 def memberships(listed: DataFrame, threshold: float) -> DataFrame:
-    """g, node, n: the groups in which all nodes meet that share a shingle of their prefixes and could be similar by their sizes."""
+    """g, node, n, home: the groups in which all nodes meet that share a shingle of their prefixes and could be similar by their sizes."""
     by_shingle = lambda rows: rows.repartition("s").sortWithinPartitions("s")
     counted = by_shingle(listed.filter("counted is not null").select(F.explode("counted").alias("s"), "node"))
     back = counted.mapInArrow(_counts, "node bigint, s bigint, level int")
@@ -401,15 +403,15 @@ def memberships(listed: DataFrame, threshold: float) -> DataFrame:
     placed = back.withColumns({"place": F.row_number().over(own.orderBy("level", "s")), "shared": F.count(F.lit(1)).over(own)})
     first = placed.join(info, "node").filter(F.col("place") + F.col("all") - F.col("shared") <= F.col("open")).select("s", "node", "n")
     rare = listed.filter("rare is not null").select(F.explode("rare").alias("s"), "node", "n")
-    few = by_shingle(first.unionByName(rare)).mapInArrow(lambda b: _met(b, threshold), "g bigint, node bigint, n bigint")
+    few = by_shingle(first.unionByName(rare)).mapInArrow(lambda b: _met(b, threshold), "g bigint, node bigint, n bigint, home int")
     # A frequent shingle's members are too many for one place: each band's smallest one is found by partial minima and sent to all of its parts.
     pairs = F.explode(F.arrays_zip(F.col("common").alias("s"), F.col("parts").alias("parts"))).alias("c")
     own = band(F.col("n"), threshold)
-    common = listed.filter("common is not null").select(pairs, "node", "n").select("c.s", "c.parts", "node", "n", F.explode(F.array(own, own + 1)).alias("j"))
-    least = common.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("parts").alias("parts")).filter("least < most")
+    common = listed.filter("common is not null").select(pairs, "node", "n").select("c.s", "c.parts", "node", "n", F.posexplode(F.array(own, own + 1)).alias("away", "j"))
+    least = common.groupBy("s", "j").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("parts").alias("parts"), F.min("away").alias("away")).filter("least < most and away = 0")
     spread = least.select("s", "j", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     many = common.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("node")), F.col("parts")).cast("int")).join(spread, ["s", "j", "part"])
-    return few.unionByName(many.select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node", "n")).distinct()
+    return few.unionByName(many.select(F.shiftrightunsigned(F.xxhash64("least", "j"), 1).alias("g"), "node", "n", (1 - F.col("away")).alias("home"))).distinct()
 
 
 def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -446,7 +448,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     sets = scratch.table(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "able-sets")
     # Groups that share a node become one, so that a set travels once.
     whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b")), scratch).withColumnRenamed("label", "g")
-    loaded = scratch.table(tiled(wanted.join(whole, "node"), threshold), "loaded")
+    loaded = scratch.table(tiled(wanted.join(whole, "node").withColumn("home", F.lit(1)), threshold), "loaded")
     scratch.keep_only(listed, sets, loaded)
     verified = lambda left, right: dealt(facing(left, right), sets).mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint")
     tight = scratch.table(verified(loaded.filter("slice = 0"), loaded), "links")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import rank_key, running
+from confab.llm.common import free_names, let, rank_key, running
 from confab.llm.texts import mixed
 
 BLOCK = 64
@@ -141,7 +141,9 @@ class Mix:
         runs = plan.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))))
         runs = runs.select("shard", (F.col("slot") + F.col("o")).alias("slot"), "src", (F.col("first") + F.col("o")).alias("first"), F.least(F.col("n") - F.col("o"), F.lit(RUN)).alias("n"), "blocks")
         seed = self.seed
-        return runs.repartition("shard", "src", "first").mapInArrow(lambda b: _slots(b, seed), "shard int, slot bigint, src int, block bigint, round int")
+        # The rows are tiny but stand for up to RUN slots each: a task for about so many, which Spark mustn't merge.
+        tasks = max(1, -(-int(self.plan.sum()) // RUN))
+        return runs.repartition(tasks, "shard", "src", "first").mapInArrow(lambda b: _slots(b, seed), "shard int, slot bigint, src int, block bigint, round int")
 
     def pieces(self) -> DataFrame:
         """src, block, start (the document's place in its source), doc_id, size, a, b: words a to b (exclusive) of the document lie in the block."""
@@ -163,32 +165,46 @@ class Mix:
 
     def texts(self, docs: DataFrame) -> DataFrame:
         """shard, slot, source, text: the blocks of the output, their words joined by a space."""
-        words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE), F.lit(0))
-        body = docs.select(F.col("doc_id").alias("_id"), row_key(docs).alias("_r"), words.alias("words")).dropDuplicates(["_r"])
-        keyed = self.placed.select("source", "start", F.col("_rank").alias("_r"), "size").filter(F.col("size") > 0).join(self.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).select("src", "start", "_r")
-        parts = self.pieces().join(keyed, ["src", "start"]).join(body, "_r").select("src", "block", "start", F.slice("words", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("w"))
-        packed = parts.groupBy("src", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda x: x["w"])), " ").alias("text"))
+        (key,) = free_names(docs, "_r")
+        body = docs.select(row_key(docs).alias(key), F.coalesce(F.col("text"), F.lit("")).alias("body")).dropDuplicates([key])
+        keyed = self.placed.select("source", "start", F.col("_rank").alias(key), "size").filter(F.col("size") > 0).join(self.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).select("src", "start", key)
+        # A text is cut into words once for each row that the mix places, and that row's pieces come out of it.
+        own = self.pieces().groupBy("src", "start").agg(F.collect_list(F.struct("block", "a", "b")).alias("cuts"))
+        cut = F.explode(pieces_of(F.col("body"), F.col("cuts"))).alias("p")
+        parts = own.join(keyed, ["src", "start"]).join(body, key).select("src", "start", cut).select("src", "start", "p.*")
+        packed = parts.groupBy("src", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x["words"]), " ").alias("text"))
         return self.slots().hint("merge").join(packed, ["src", "block"]).join(self.sources.select("src", "source"), "src").select("shard", "slot", "source", "text")
 
 
+def words_of(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(SPACE), F.lit(0))
+
+
+def cut_words(words: Column, p: Column) -> Column:
+    return F.slice(words, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))
+
+
+def pieces_of(body: Column, cuts: Column) -> Column:
+    """array<struct<block, words>> of a text's pieces (block, a, b), words joined by a space."""
+    return let(words_of(body), lambda words: F.transform(cuts, lambda p: F.struct(p["block"].alias("block"), F.array_join(cut_words(words, p), " ").alias("words"))))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with ``docs``'s columns: one row for each pass that takes words of a document.
 
     A pass that takes a document whole repeats its row as it is. One that takes some of its blocks holds those
     blocks' words in order, joined by a space, and their number of characters as n_chars where ``docs`` has that column.
+    Equal rows share a key, and one of them stands for all that was taken of them, a row for each.
     """
+    key, first, of, size, parts = free_names(docs, "_r", "_start", "_n", "_size", "_parts")
     mix = Mix(docs, **options)
     hits = mix.pieces().join(mix.slots().select("src", "block", "round").hint("merge"), ["src", "block"])
-    rounds = hits.groupBy("src", "start", "round").agg(F.sum(F.col("b") - F.col("a")).alias("_n"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_parts"))
+    rounds = hits.groupBy("src", "start", "round").agg(F.sum(F.col("b") - F.col("a")).alias(of), F.array_sort(F.collect_list(F.struct("a", "b"))).alias(parts))
     places = mix.placed.join(mix.sources.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("size") > 0)
-    wanted = rounds.join(places.select("src", "start", "size", F.col("_rank").alias("_r")), ["src", "start"]).groupBy("_r").agg(F.collect_list(F.struct("start", "round", "_n", "size", "_parts")).alias("_take")).hint("merge")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_r", row_key(docs))
-    # Equal rows share a key, and the first of them stands for all that was taken of them.
-    each = keyed.dropDuplicates(["_r"]).join(wanted, "_r").withColumn("_take", F.explode("_take"))
-    some = F.regexp_extract_all(body, F.lit(SPACE), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(F.col("_take")["_parts"], lambda p: F.slice(some, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))), " ")
-    whole = F.col("_take")["_n"] == F.col("_take")["size"]
+    wanted = rounds.join(places.select("src", "start", "size", F.col("_rank").alias(key)), ["src", "start"]).select(key, F.col("start").alias(first), of, F.col("size").alias(size), F.when(F.col(of) < F.col("size"), F.col(parts)).alias(parts)).hint("merge")
+    each = docs.withColumn(key, row_key(docs)).dropDuplicates([key]).join(wanted, key)
+    whole = F.col(parts).isNull()
+    cut = let(words_of(F.coalesce(F.col("text"), F.lit(""))), lambda words: F.array_join(F.flatten(F.transform(F.col(parts), lambda p: cut_words(words, p))), " "))
     out = each.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import rank_key, running
+from confab.llm.common import free_names, rank_key, running
 
 #: The generator's multiplier and modulus, as published for this hash.
 MULTIPLIER = "2862933555777941757BD"
@@ -47,7 +47,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     single task. Rows that agree in key and text take neighbouring slots in no fixed order. Other columns ride along.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    clash = [c for c in docs.columns if c.lower() in ("size", "text_crc32", "shard", "slot", "grown_shard", "_rank")]
+    clash = [c for c in docs.columns if c.lower() in ("size", "text_crc32", "shard", "slot", "grown_shard")]
+    (rank,) = free_names(docs, "_rank")
     seed = key_hash(F.col(key))
     placed = (
         docs.drop(*clash)
@@ -55,6 +56,6 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         .withColumn("text_crc32", F.crc32(body.cast("binary")))
         .withColumn("shard", jump_hash(seed, shards))
         .withColumn("grown_shard", jump_hash(seed, shards + 1))
-        .withColumn("_rank", rank_key(F.col(key), F.col("text_crc32")))
+        .withColumn(rank, rank_key(F.col(key), F.col("text_crc32")))
     )
-    return running(placed, "shard", "_rank", [key, "text_crc32", "size"], F.lit(1), "slot").drop("_rank")
+    return running(placed, "shard", rank, [key, "text_crc32", "size"], F.lit(1), "slot").drop(rank)

@@ -15,7 +15,7 @@ from xxhash import xxh3_64_intdigest
 #: Odd multipliers (fixed values): the golden ratio's and two finaliser constants.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 #: A vocabulary cache is emptied at this size, so that a worker's memory is bounded.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 class WordHash(dict):

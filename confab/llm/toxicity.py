@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from confab.llm.common import Scratch
 from confab.llm.texts import CACHE, texts_of
 
 BUCKETS = 1 << 18
@@ -62,8 +63,20 @@ class Codes(dict):
         return sorted({t for code in set(map(self.__getitem__, text.split())) for t in self.pairs[code]})
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = Codes()
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's number of rows and of toxic ones for each term; term -1 stands for all rows."""
+    codes, flat, marks = Codes(), [], []
+    for batch in batches:
+        for mark, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
+            flat.append(np.array([-1, *codes.terms(text)], np.int32))
+            marks.append(np.full(len(flat[-1]), mark))
+    if flat:
+        terms, at = np.unique(np.concatenate(flat), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at).astype(float)), pa.array(np.bincount(at, weights=np.concatenate(marks)))], names=["term", "n", "pos"])
+
+
+def _featured(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    codes = Codes(known.value)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([codes.terms(t) for t in texts_of(batch)], pa.list_(pa.int32()))], names=["toxic", "terms"])
 
@@ -81,18 +94,9 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Adagrad on the log loss with decay, full batch, from small random factors; the same for the same rows in the same order."""
-    known = np.full(BUCKETS, -1, np.int32)
-    n, pos = len(rows), float(labels.sum())
-    rate = (pos + 0.5) / (n + 1.0)
-    w0 = float(np.log(rate / (1 - rate)))
-    if not n or not pos or pos == n:
-        return Machine(known, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=BUCKETS).astype(float)
-    hit = np.bincount(flat, weights=labels[of], minlength=BUCKETS)
+def telling(seen: np.ndarray, hit: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """bucket -> term or -1: the terms whose tie to the label is the strongest by chi-squared, from the rows and toxic rows that hold each."""
+    known = np.full(len(seen), -1, np.int32)
     a, b, c, d = hit, seen - hit, pos - hit, n - pos - (seen - hit)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
@@ -100,20 +104,34 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
     chosen = np.sort(np.argsort(-chi, kind="stable")[:MAX_TERMS])
     chosen = chosen[chi[chosen] >= TELLING]
     known[chosen] = np.arange(len(chosen))
-    inside = known[flat] >= 0
-    term, doc = known[flat[inside]], of[inside]
+    return known
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, seed: int = 7) -> Machine:
+    """Adagrad on the log loss with decay, full batch, from small random factors; the same for the same rows (terms that ``known`` names) in the same order."""
+    n, pos, terms = len(rows), float(labels.sum()), int(known.max(initial=-1)) + 1
+    rate = (pos + 0.5) / (n + 1.0)
+    w0 = float(np.log(rate / (1 - rate)))
+    if not n or not pos or pos == n:
+        return Machine(np.full(len(known), -1, np.int32), w0, np.zeros(0), np.zeros((0, FACTORS)))
+    term = np.concatenate(rows).astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))
-    gw, gv, g0 = np.full(len(chosen), 1e-8), np.full(v.shape, 1e-8), 1e-8
+    w, v = np.zeros(terms), rng.normal(0, 0.01, (terms, FACTORS))
+    gw, gv, g0 = np.full(terms, 1e-8), np.full(v.shape, 1e-8), 1e-8
     add = lambda values, at, size: np.bincount(at, weights=values, minlength=size)
     for _ in range(EPOCHS):
-        vx = v[term]
-        total = np.stack([add(vx[:, f], doc, n) for f in range(FACTORS)], axis=1)
-        z = w0 + add(w[term], doc, n) + 0.5 * ((total * total).sum(1) - add((vx * vx).sum(1), doc, n))
+        # A factor at a time: what is held beside the rows is a few numbers for each of their terms.
+        z = w0 + add(w[term], doc, n)
+        total = np.empty((n, FACTORS))
+        for f in range(FACTORS):
+            vx = v[term, f]
+            total[:, f] = add(vx, doc, n)
+            z += 0.5 * (total[:, f] ** 2 - add(vx * vx, doc, n))
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        dw = add(err[doc], term, len(chosen)) + DECAY * w / 10
-        pull = err[doc][:, None] * (total[doc] - vx)
-        dv = np.stack([add(pull[:, f], term, len(chosen)) for f in range(FACTORS)], axis=1) + DECAY * v
+        own = err[doc]
+        dw = add(own, term, terms) + DECAY * w / 10
+        dv = np.stack([add(own * (total[doc, f] - v[term, f]), term, terms) for f in range(FACTORS)], axis=1) + DECAY * v
         d0 = float(err.sum())
         gw, gv, g0 = gw + dw * dw, gv + dv * dv, g0 + d0 * d0
         w, v, w0 = w - RATE * dw / np.sqrt(gw), v - RATE * 0.3 * dv / np.sqrt(gv), w0 - RATE * d0 / float(np.sqrt(g0))
@@ -122,17 +140,29 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine:
     """``labels``: doc_id, toxic (0/1; nulls are skipped, of repeated ids the largest counts). At most ``max_labelled`` of them,
-    broadcast by their id, select the texts; what reaches the driver is their hashed terms."""
+    broadcast by their id, select the texts, one for each id (of several the least). Terms are counted and chosen in the cluster's
+    partial counts, so that the driver gets a row a bucket and then, for each labelled id, its chosen terms."""
     named = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.select("toxic", "text").mapInArrow(_featured, "toxic double, terms array<int>").toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(rows, "labelled")
+    counts = rows.mapInArrow(_seen, "term int, n double, pos double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    terms, seen, hit = (counts.column(c).to_numpy() for c in ("term", "n", "pos"))
+    every = terms < 0
+    by_bucket = np.zeros((2, BUCKETS))
+    by_bucket[:, terms[~every]] = seen[~every], hit[~every]
+    known = telling(*by_bucket, int(seen[every].sum()), float(hit[every].sum()))
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    got = rows.mapInArrow(lambda b: _featured(b, held), "toxic double, terms array<int>").toArrow()
+    held.destroy()
+    scratch.drop(rows)
     lists = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     marks, ends, flat = got.column("toxic").to_numpy(), np.asarray(lists.offsets), np.asarray(lists.values)
     split = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    # The rows come in no fixed order; the sums below are to be the same each time.
+    # The rows come in no fixed order; the sums are to be the same each time.
     order = sorted(range(len(split)), key=lambda i: (xxh3_64_intdigest(split[i].tobytes()), marks[i]))
-    return fit_rows([split[i] for i in order], marks[order] if order else np.zeros(0))
+    return fit_rows([split[i] for i in order], marks[order] if order else np.zeros(0), known)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -153,3 +183,15 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
     kinds = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in names)
     rows = docs.select(*names, *([] if "text" in names else ["text"]))
     return rows.mapInArrow(lambda b: _scored(b, held, names), f"{kinds}, score double")
+
+
+def _passed(batches: Iterator[pa.RecordBatch], machine, cut: float) -> Iterator[pa.RecordBatch]:
+    codes = Codes(machine.value.known)
+    for batch in batches:
+        yield batch.filter(pa.array([machine.value.score(codes.terms(t)) < cut for t in texts_of(batch)], pa.bool_()))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``cut``; no column is added, so no name can clash."""
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+    return docs.mapInArrow(lambda b: _passed(b, held, cut), docs.schema)
