@@ -9,10 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from confab.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from confab.llm.common import shared_folder, shipped
+from confab.llm.common import own_folder, removed, shipped
 from confab.llm.queries import table, training_labels
 
 SHARDS = 16
@@ -21,11 +20,11 @@ SHARDS = 16
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut; labels of held-out rows teach nothing."""
     machine = toxicity.fit(docs, training_labels(spark, sf_dir))
-    return toxicity.score(docs, machine, keep=tuple(docs.columns)).filter(F.col("score") < toxicity.CUT).drop("score")
+    return toxicity.without_toxic(docs, machine)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id; repeated rows count once."""
+    """Of each group of near duplicates (five words, 0.8) one row: that with the smallest doc_id, of its texts under one id the least by MD5."""
     return jaccard.without_near_duplicates(docs, n=5, threshold=0.8)
 
 
@@ -54,12 +53,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages in order; what each returns is written to the shared folder and read again, and goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    base = f"{own_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{base}/{name}"
     return docs
 
 
