@@ -28,11 +28,6 @@ def session_records(messages: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     return nested.select("chat_id", "chat", "group", first.alias("start"), last.alias("end"), "messages")
 
 
-def session_json(records: DataFrame) -> DataFrame:
-    """One JSON text per record; null fields are kept."""
-    return records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-
-
 def summary(flat: DataFrame, records: DataFrame) -> DataFrame:
     """n_chats (chats with a row before cleaning, even if no session is left), n_sessions, n_msgs."""
     none = F.lit(0).cast("bigint")

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions.text import PLACEHOLDER, PY_WS, own_or_sender, strip_unicode, to_jid, typedstream_text, without_placeholder
+from confab.operators.clean import clean_apple, clean_whatsapp
 from confab.operators.records import in_order, session_records, summary
 from confab.operators.sessionize import GAP_SECONDS, session_numbers, sessionize
 from confab.operators.sinks import write_jsonl
 from confab.session import table
-from confab.sources.archives import APPLE_EPOCH, TEXT_TYPES, apple_epoch_ns, apple_epoch_s
+from confab.sources.archives import APPLE_EPOCH, TEXT_TYPES, apple_epoch_ns, apple_epoch_s, apple_messages, whatsapp_messages
 from confab.streaming.sessions import stream_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,11 +261,11 @@ def ordered_with_tiebreak(spark, sf_dir):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in local tests, one of our own."""
+    """The folder that driver and executors share; only on one machine there is a default."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/confab-shared"
-    return f"{base.rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or '/tmp/confab-shared').rstrip('/')}/jsonl-{uuid.uuid4().hex}"
 
 
 @query(RECORDS.replace("to_json(list({'t': t, 'me': me, 'from': sender, 'text': props} ORDER BY ord, id))::varchar AS messages", "count(*) AS n, count(*) FILTER (sender IS NULL) AS own"))
@@ -274,3 +275,79 @@ def jsonl_roundtrip(spark, sf_dir):
     write_jsonl(records, path)
     back = spark.read.schema(records.schema).json(path)
     return back.select("chat_id", "chat", "group", "start", "end", F.size("messages").cast("bigint").alias("n"), F.size(F.filter("messages", lambda m: m["from"].isNull())).cast("bigint").alias("own"))
+
+
+def apple_shape(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The events as an Apple archive: each is in its user's chat, each tenth in a second one; every fifth body is a blob, every seventh blank."""
+    events = timed_events(spark, sf_dir)
+    id_, kind = F.col("event_id"), F.col("event_type")
+    message = events.select(
+        id_.alias("ROWID"),
+        ((F.col("ord") - 1704067200000000) * 1000).alias("date"),
+        (kind == "purchase").cast("int").alias("is_from_me"),
+        F.when(kind != "error", F.col("user_id") % 50).alias("handle_id"),
+        F.when(id_ % 7 == 0, f" {PLACEHOLDER} ").when(id_ % 5 != 0, F.col("props")).alias("text"),
+        F.when(id_ % 5 == 0, encode_typedstream(F.col("props"))).alias("attributedBody"),
+        F.when(id_ % 11 == 0, 2000).otherwise(0).alias("associated_message_type"),
+    )
+    bridge = events.select(F.col("user_id").alias("chat_id"), id_.alias("message_id")).unionByName(events.filter(id_ % 10 == 0).select((F.col("user_id") + 1_000_000).alias("chat_id"), id_.alias("message_id")))
+    style = F.when(F.col("c") % 3 == 0, F.lit(43)).when(F.col("c") % 3 == 1, F.lit(45))
+    chat = bridge.select(F.col("chat_id").alias("c")).distinct().select(F.col("c").alias("ROWID"), F.concat(F.lit("chat"), F.col("c").cast("string")).alias("chat_identifier"), style.alias("style"))
+    handle = spark.range(45).select(F.col("id").alias("ROWID"), F.concat(F.lit("+1415555"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"))
+    return {"message": message, "chat_message_join": bridge, "chat": chat, "handle": handle}
+
+
+#: A handle past the table's end is null, as is an error's: what isn't one's own and has no sender is an event of the system.
+APPLE_RECORDS = f"""WITH links AS (SELECT user_id AS k, * FROM events UNION ALL SELECT user_id + 1000000, * FROM events WHERE event_id % 10 = 0),
+m AS (SELECT k, epoch_us(ts) AS ord, event_id AS id, (epoch_us(ts) - 1704067200000000) * 1000 // 1000000000 + {APPLE_EPOCH} AS t, event_type = 'purchase' AS me,
+  CASE WHEN event_type <> 'error' AND user_id % 50 < 45 THEN '+1415555' || lpad((user_id % 50)::varchar, 4, '0') END AS sender,
+  CASE WHEN event_id % 7 = 0 THEN '' ELSE trim(props, {{ws}}) END AS body
+  FROM links WHERE event_id % 11 <> 0),
+c AS (SELECT * FROM m WHERE (me OR sender IS NOT NULL) AND body <> '')
+SELECT k AS chat_id, 'chat' || k AS chat, k % 3 = 0 AS "group", min(t) AS start, max(t) AS "end",
+  to_json(list({{{{'t': t, 'me': me, 'from': CASE WHEN NOT me THEN sender END, 'text': body}}}} ORDER BY ord, id))::varchar AS messages
+FROM ({CUT.format(gap=GAP_SECONDS, source="SELECT * FROM c")}) GROUP BY k, session_no""".format(ws=_sql_text(PY_WS))
+
+
+@query(APPLE_RECORDS)
+def apple_archive_records(spark, sf_dir):
+    """The shipped adapter and cleaner, from an archive's tables to session records."""
+    records = session_records(clean_apple(apple_messages(apple_shape(spark, sf_dir))))
+    return records.withColumn("messages", F.to_json("messages", {"ignoreNullFields": "false"}))
+
+
+def whatsapp_shape(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The events as a WhatsApp archive: a chat for each user, message types by id, members for two thirds of the group messages."""
+    events = timed_events(spark, sf_dir)
+    id_, user = F.col("event_id"), F.col("user_id")
+    message = events.select(
+        id_.alias("Z_PK"),
+        user.alias("ZCHATSESSION"),
+        ((F.col("ord") - 1704067200000000) / 1_000_000 + 0.25).alias("ZMESSAGEDATE"),
+        (F.col("event_type") == "purchase").cast("int").alias("ZISFROMME"),
+        F.when(F.col("event_type") != "error", F.concat(user.cast("string"), F.lit("@s.whatsapp.net"))).alias("ZFROMJID"),
+        F.when(id_ % 3 != 0, id_ % 40).alias("ZGROUPMEMBER"),
+        F.when(id_ % 7 == 0, "\u00a0\t").when(id_ % 13 != 0, F.concat(F.lit(" "), F.col("props"))).alias("ZTEXT"),
+        (id_ % 9).cast("int").alias("ZMESSAGETYPE"),
+    )
+    kind = F.when(F.col("c") % 3 == 0, F.lit(0)).when(F.col("c") % 3 == 1, F.lit(1))
+    session = events.select(user.alias("c")).distinct().select(F.col("c").alias("Z_PK"), F.concat(F.col("c").cast("string"), F.lit("@g.us")).alias("ZCONTACTJID"), kind.alias("ZSESSIONTYPE"))
+    member = spark.range(30).select(F.col("id").alias("Z_PK"), F.concat(F.lit("m"), F.col("id").cast("string"), F.lit("@s.whatsapp.net")).alias("ZMEMBERJID"))
+    return {"ZWAMESSAGE": message, "ZWACHATSESSION": session, "ZWAGROUPMEMBER": member}
+
+
+WHATSAPP_RECORDS = f"""WITH m AS (SELECT user_id AS k, epoch_us(ts) AS ord, event_id AS id, trunc((epoch_us(ts) - 1704067200000000) / 1000000 + 0.25)::bigint + {APPLE_EPOCH} AS t, event_type = 'purchase' AS me,
+  coalesce(CASE WHEN event_id % 3 <> 0 AND event_id % 40 < 30 THEN 'm' || (event_id % 40) || '@s.whatsapp.net' END, CASE WHEN event_type <> 'error' THEN user_id || '@s.whatsapp.net' END) AS sender,
+  CASE WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN '' ELSE trim(props, {{ws}}) END AS body
+  FROM events WHERE event_id % 9 IN {TEXT_TYPES}),
+c AS (SELECT * FROM m WHERE body <> '')
+SELECT k AS chat_id, k || '@g.us' AS chat, k % 3 <> 0 AS "group", min(t) AS start, max(t) AS "end",
+  to_json(list({{{{'t': t, 'me': me, 'from': CASE WHEN NOT me THEN sender END, 'text': body}}}} ORDER BY ord, id))::varchar AS messages
+FROM ({CUT.format(gap=GAP_SECONDS, source="SELECT * FROM c")}) GROUP BY k, session_no""".format(ws=_sql_text(PY_WS))
+
+
+@query(WHATSAPP_RECORDS)
+def whatsapp_archive_records(spark, sf_dir):
+    """The other archive's adapter and cleaner; an unknown sender stays."""
+    records = session_records(clean_whatsapp(whatsapp_messages(whatsapp_shape(spark, sf_dir))))
+    return records.withColumn("messages", F.to_json("messages", {"ignoreNullFields": "false"}))

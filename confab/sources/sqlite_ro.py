@@ -12,7 +12,7 @@ import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
 
@@ -41,6 +41,19 @@ class SqliteReader(DataSourceReader):
         self.key = _quoted(options.get("key", "rowid"))
         self.parts = max(1, int(options.get("numpartitions", options.get("numPartitions", "8"))))
         self.columns = ", ".join(_quoted(f.name) for f in schema.fields)
+        self.where: list[tuple[str, tuple]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality and membership of a top-level column run in SQLite, with the values bound.
+
+        Spark applies them again, since a column's values needn't have the declared type there; what matters is that the rows
+        they drop never cross into Python. A boolean or an empty list stays with Spark alone.
+        """
+        for f in filters:
+            values = (f.value,) if isinstance(f, EqualTo) else tuple(f.value) if isinstance(f, In) else ()
+            if values and len(f.attribute) == 1 and all(isinstance(v, int | float | str) and not isinstance(v, bool) for v in values):
+                self.where.append((f"{_quoted(f.attribute[0])} IN ({', '.join('?' * len(values))})", values))
+            yield f
 
     def partitions(self) -> list[KeyRange]:
         conn = _connect(self.path)
@@ -56,9 +69,10 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: KeyRange) -> Iterator[tuple]:
         conn = _connect(self.path)
         try:
+            more = "".join(f" AND {condition}" for condition, _ in self.where)
             yield from conn.execute(
-                f"SELECT {self.columns} FROM {self.table} WHERE {self.key} >= ? AND {self.key} < ?",
-                (partition.low, partition.high),
+                f"SELECT {self.columns} FROM {self.table} WHERE {self.key} >= ? AND {self.key} < ?{more}",
+                (partition.low, partition.high, *(v for _, values in self.where for v in values)),
             )
         finally:
             conn.close()
@@ -77,4 +91,6 @@ class SqliteReadOnly(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Also lets Spark hand filters to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteReadOnly)

@@ -121,25 +121,51 @@ def test_whatsapp(spark, tmp_path):
     assert lines[0]["messages"][1] == {"t": 1678307201, "me": True, "from": None, "text": "https://e.example"}
 
 
-def decoded(b):
-    """What the blob rule says, in plain Python."""
-    i = -1 if not b else b.find(b"NSString")
-    if i < 0 or i + 13 >= len(b):
-        return ""
-    n, i = b[i + 13], i + 14
-    if n in (0x81, 0x82):
-        w = 2 if n == 0x81 else 4
-        n, i = int.from_bytes(b[i : i + w], "little"), i + w
-    return b[i : i + n].decode("utf-8", "replace")
+BLOBS = [
+    (None, ""), (b"", ""), (b"nothing here", ""), (b"xNSString\x01\x94\x84\x01+", ""), (b"xNSString", ""), (blob("a", b"\x81"), ""), (blob("", b"\x81\x05"), ""),
+    (blob("short", b"\x7f"), "short"), (blob("x" * 200, b"\x83"), "x" * 131), (blob(b"\xc3("), "\ufffd("), (blob("\u00e9" * 50), "\u00e9" * 50), (blob("NSString twice NSString"), "NSString twice NSString"),
+    (blob("\u00fc" * 40000), "\u00fc" * 40000), (blob("z" * 65535), "z" * 65535), (blob("z" * 65536), "z" * 65536), (blob("y", b"\x82\xff\xff\xff\xff"), "y"), (b"\xff\xfe\xc0" + blob("after"), "after"),
+]
 
 
 def test_blobs(spark):
-    blobs = [
-        None, b"", b"nothing here", b"xNSString\x01\x94\x84\x01+", b"xNSString", blob("a", b"\x81"), blob("", b"\x81\x05"), blob("short", b"\x7f"), blob("x" * 200, b"\x83"),
-        blob(b"\xc3("), blob("é" * 50), blob("NSString twice NSString"), blob("ü" * 40000), blob("z" * 65535), blob("z" * 65536), blob("y", b"\x82\xff\xff\xff\xff"), b"\xff\xfe\xc0" + blob("after"),
-    ]
-    got = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(blobs)], "i int, b binary").select("i", typedstream_text(F.col("b")).alias("x")).collect()
-    assert {r.i: r.x for r in got} == {i: decoded(b) for i, b in enumerate(blobs)}
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, (b, _) in enumerate(BLOBS)], "i int, b binary")
+    got = {r.i: r.x for r in df.select("i", typedstream_text(F.col("b")).alias("x")).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(BLOBS)}
+
+
+def test_filters_run_in_sqlite(spark, apple):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+    from pyspark.sql.types import StructType
+
+    from confab.sources.sqlite_ro import SqliteReader
+
+    path, _ = apple
+    reader = SqliteReader(StructType.fromDDL("ROWID bigint, associated_message_type int"), {"path": path, "table": "message", "numpartitions": "1"})
+    asked = [EqualTo(("associated_message_type",), 2000), In(("ROWID",), (3, 4)), GreaterThan(("ROWID",), 1), EqualTo(("ROWID",), True)]
+    assert list(reader.pushFilters(asked)) == asked and len(reader.where) == 2
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [(3, 2000)]
+    rows = spark.read.format("sqlite_ro").schema("ROWID bigint, associated_message_type int").option("path", path).option("table", "message").load()
+    assert [r.ROWID for r in rows.filter("associated_message_type = 2000").collect()] == [3]
+    assert rows.filter("associated_message_type in (0, 2000)").count() == 10
+
+
+def test_missing_option(spark):
+    register(spark)
+    with pytest.raises(Exception, match="'path' is required"):
+        spark.read.format("sqlite_ro").schema("a int").option("table", "t").load().count()
+
+
+@pytest.mark.parametrize("chat,counts,lines", [(None, (3, 4, 6), 4), ("+14155550123", (1, 2, 4), 2), ("", (0, 0, 0), 0)])
+def test_command(spark, apple, tmp_path, chat, counts, lines):
+    """Twice to the same path, below a folder that isn't there: the second run replaces the first."""
+    from confab.__main__ import main
+
+    out = tmp_path / "new" / "out"
+    for _ in range(2):
+        said = main(["apple", apple[0], str(out), *([] if chat is None else [chat])], spark)
+        assert said == f"{counts[2]} messages in {counts[1]} sessions of {counts[0]} chats -> {out}"
+        assert sum(len(f.read_text().splitlines()) for f in out.glob("part-*")) == lines
 
 
 def test_jid(spark):
