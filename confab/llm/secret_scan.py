@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confab.llm.common import free_names, let
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The shortest group 2 of an assignment that counts; shorter ones still use up the text they match.
@@ -54,24 +56,59 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def scanned(values: Column, merge) -> Column:
+    """Running ``merge`` (of two integers, such as their sum) of an array<int>, each value included.
+
+    A fold that grows an array copies it at every step. So the array is cut into about as many blocks as a block has values, blocks are
+    folded apart, then what precedes each block is merged in: n values cost n * sqrt(n) copies of 4 bytes.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(None).cast("int").alias("sum"), none.alias("out"))
+    both = lambda a, b: F.when(a.isNull(), b).otherwise(merge(a, b))
+
+    def step(s: Column, x: Column) -> Column:
+        return let(both(s["sum"], x), lambda now: F.struct(now.alias("sum"), F.array_append(s["out"], now).alias("out")))
+
+    def before(s: Column, x: Column) -> Column:
+        return F.struct(both(s["sum"], x).alias("sum"), F.array_append(s["out"], s["sum"]).alias("out"))
+
+    def cut(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
+        return let(F.transform(blocks, lambda b: F.aggregate(b, start, step, lambda s: s["out"])), whole)
+
+    def whole(inner: Column) -> Column:
+        offsets = F.aggregate(inner, start, lambda s, b: before(s, F.element_at(b, -1)), lambda s: s["out"])
+        return F.flatten(F.zip_with(inner, offsets, lambda b, o: F.when(o.isNull(), b).otherwise(F.transform(b, lambda x: merge(o, x)))))
+
+    return F.when(F.size(values) == 0, none).otherwise(let(values, cut))
 
 
 def spans(text: str, found: str, pattern: str, kind: int) -> Column:
     """array<struct<start, end, kind, word>> of the matches in column ``found``, which ``pattern`` extracted from ``text``."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,word:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps = F.slice(F.split(F.col(text), pattern, -1), 1, F.size(found))
+    ends = scanned(F.zip_with(gaps, F.col(found), lambda g, w: F.length(g) + F.length(w)), lambda a, b: a + b)
+    out = F.zip_with(ends, F.col(found), lambda e, w: F.struct((e - F.length(w)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), w.alias("word")))
+    return F.when(F.size(found) == 0, none).otherwise(out)
 
-    def step(s: Column, pair: Column) -> Column:
-        begin = s["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["word"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["word"].alias("word"))).alias("out"))
 
-    gaps = F.slice(F.split(F.col(text), pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(gaps, F.col(found), lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda s: s["out"]))
+def uncovered(some: Column, base: Column) -> Column:
+    """Those of ``some`` that lie within no span of ``base``: in the order of starts, the largest end of base spans so far tells."""
+    mark = lambda s, inner, end: F.struct(s["start"].alias("start"), F.lit(inner).alias("own"), end.alias("reach"), s["end"].alias("end"), s["kind"].alias("kind"), s["word"].alias("word"))
+    every = F.array_sort(F.concat(F.transform(base, lambda s: mark(s, 0, s["end"])), F.transform(some, lambda s: mark(s, 1, F.lit(-1)))))
+
+    def kept(rows: Column) -> Column:
+        reach = scanned(F.transform(rows, lambda r: r["reach"]), F.greatest)
+        out = F.filter(F.zip_with(rows, reach, lambda r, e: F.when((r["own"] == 1) & (r["end"] > e), r)), lambda r: r.isNotNull())
+        return F.transform(out, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"), r["word"].alias("word")))
+
+    return F.when((F.size(some) == 0) | (F.size(base) == 0), some).otherwise(let(every, kept))
+
+
+def symbol_counts(word: Column, letters: Column) -> Column:
+    """How often the word has each of the letters."""
+    return F.transform(letters, lambda c: (F.length(word) - F.length(F.replace(word, c, F.lit("")))).cast("double"))
 
 
 def randomness(word: Column) -> Column:
@@ -89,7 +126,7 @@ def randomness(word: Column) -> Column:
 
     def battery(x: Column) -> Column:
         n, k, codes = x["n"].cast("double"), x["k"].cast("double"), x["codes"]
-        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(codes, lambda d: d == c)).cast("double"), F.lit(2.0)))
+        squares = F.aggregate(symbol_counts(x["plain"], F.split(x["alphabet"], "")), F.lit(0.0), lambda s, c: s + c * c)
         free = k - 1.0
         chi = F.greatest(squares * k / n - n, F.lit(0.0))
         p_chi = normal_tail((F.pow(chi / free, F.lit(1.0 / 3.0)) - (1.0 - 2.0 / (9.0 * free))) / F.sqrt(2.0 / (9.0 * free)))
@@ -100,17 +137,18 @@ def randomness(word: Column) -> Column:
         mu = 2.0 * up * (n - up) / n + 1.0
         var = (mu - 1.0) * (mu - 2.0) / (n - 1.0)
         p_runs = F.when(var > 0, 2.0 * normal_tail(F.abs(runs - mu) / F.sqrt(var))).otherwise(0.0)
-        mean = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
-        spread = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
-        lag = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
-        p_lag = F.when(spread > 0, 2.0 * normal_tail(F.abs(lag / spread + 1.0 / n) * F.sqrt(n))).otherwise(0.0)
+        sums = lambda mean: F.struct(
+            F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean)).alias("spread"),
+            F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean)).alias("lag"),
+        )
+        p_lag = let(let(F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n, sums), lambda m: F.when(m["spread"] > 0, 2.0 * normal_tail(F.abs(m["lag"] / m["spread"] + 1.0 / n) * F.sqrt(n))).otherwise(0.0))
         return F.struct(x["n"].alias("n"), x["changes"].alias("changes"), F.least(F.lit(1.0), 3.0 * F.least(p_chi, p_runs, p_lag)).alias("p"), _ordinary(x).alias("o"))
 
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9]", ""), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     changes = F.regexp_count(classes, F.lit("(?<=0)[aA]|(?<=[aA])0|(?<=a)A"))
     codes = let(alphabet, lambda letters: F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: (F.call_function("instr", letters, c) - 1).cast("double")))
-    letters = F.regexp_extract_all(F.lower(plain), F.lit("[a-z]"), F.lit(0))
-    return let(F.struct(F.length(plain).alias("n"), F.length(alphabet).alias("k"), codes.alias("codes"), changes.alias("changes"), letters.alias("letters"), usual.alias("usual")), battery)
+    letters = symbol_counts(F.lower(plain), F.split(F.lit("abcdefghijklmnopqrstuvwxyz"), ""))
+    return let(F.struct(F.length(plain).alias("n"), F.length(alphabet).alias("k"), plain.alias("plain"), alphabet.alias("alphabet"), codes.alias("codes"), changes.alias("changes"), letters.alias("letters"), usual.alias("usual")), battery)
 
 
 def tested(words: Column, alpha: float, rate: float) -> Column:
@@ -120,17 +158,15 @@ def tested(words: Column, alpha: float, rate: float) -> Column:
     rule holds the text's false discovery rate at ``rate``; what the battery rejects at ``alpha`` isn't random and goes.
     """
 
+    # What a lambda reads is computed before it, or it would be computed for each of its values.
     def judged(all_: Column) -> Column:
-        mean = F.aggregate(all_, F.lit(0.0), lambda s, x: s + x["r"]["n"]) / F.size(all_)
-        weighted = F.transform(all_, lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r"), (x["r"]["o"] * mean / x["r"]["n"]).alias("q")))
-
-        def cut(rows: Column) -> Column:
-            ranked = F.array_sort(F.transform(rows, lambda x: x["q"]))
-            below = F.filter(F.transform(ranked, lambda q, i: F.when(q <= (i + 1) * rate / F.size(rows), q)), lambda q: q.isNotNull())
-            limit = F.coalesce(F.array_max(below), F.lit(-1.0))
-            return F.transform(F.filter(rows, lambda x: (x["q"] <= limit) & (x["r"]["p"] >= alpha)), lambda x: x["w"])
+        return let(F.aggregate(all_, F.lit(0.0), lambda s, x: s + x["r"]["n"]) / F.size(all_), lambda mean: let(F.transform(all_, lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r"), (x["r"]["o"] * mean / x["r"]["n"]).alias("q"))), cut))
 
-        return let(weighted, cut)
+    def cut(rows: Column) -> Column:
+        ranked = F.array_sort(F.transform(rows, lambda x: x["q"]))
+        below = lambda size: F.filter(F.transform(ranked, lambda q, i: F.when(q <= (i + 1) * rate / size, q)), lambda q: q.isNotNull())
+        limit = let(F.size(rows), lambda size: F.coalesce(F.array_max(below(size)), F.lit(-1.0)))
+        return let(limit, lambda most: F.transform(F.filter(rows, lambda x: (x["q"] <= most) & (x["r"]["p"] >= alpha)), lambda x: x["w"]))
 
     return let(F.transform(words, lambda w: F.struct(w.alias("w"), randomness(w["word"]).alias("r"))), judged)
 
@@ -142,8 +178,8 @@ def _ordinary(x: Column) -> Column:
     deviations; the two are added with what even draws of this length and encoding would show of each as weights.
     """
     usual, letters = x["usual"], x["letters"]
-    m = F.size(letters).cast("double")
-    same = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(letters, lambda d: d == c)).cast("double"), F.lit(2.0))) - m
+    m = F.aggregate(letters, F.lit(0.0), lambda s, c: s + c)
+    same = F.aggregate(letters, F.lit(0.0), lambda s, c: s + c * c) - m
     pairs, k2, k3 = m * (m - 1.0), usual["k2"], usual["k3"]
     spread = F.sqrt(2.0 * pairs * (k2 - k2 * k2) + 4.0 * pairs * (m - 2.0) * (k3 - k2 * k2))
     told = m >= 3.0
@@ -164,18 +200,18 @@ def find_secrets(docs: DataFrame, text: str = "text", alpha: float = 0.001, rate
     what their rows cost. The battery's finds that lie within a fixed pattern's span aren't repeated. A column named
     secrets is replaced; others ride along.
     """
-    names = {"text": "_body", **{k: f"_{k}" for k in KINDS}}
+    found_, new_, body, *kinds = free_names(docs, "_base", "_new", "_body", *(f"_{k}" for k in KINDS))
+    names = {"text": body, **dict(zip(KINDS, kinds, strict=True))}
     patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE), strict=True))
     rows = docs.drop("secrets").withColumn(names["text"], F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({names[k]: F.regexp_extract_all(F.col(names["text"]), F.lit(p), F.lit(0)) for k, p in patterns.items()})
     rows = rows.withColumns({names[k]: spans(names["text"], names[k], p, i) for i, (k, p) in enumerate(patterns.items())})
     long = F.filter(names["assign"], lambda s: F.length(F.regexp_extract(s["word"], f"^{ASSIGN}$", 2)) >= ASSIGN_MIN)
-    rows = rows.withColumn("_base", F.concat(long, F.col(names["access"]), F.col(names["hex"])))
-    new = F.filter(names["random"], lambda c: ~F.exists("_base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
-    rows = rows.withColumn("_new", new)
-    found = F.when(F.size("_new") == 0, F.col("_base")).otherwise(F.concat(F.col("_base"), tested(F.col("_new"), alpha, rate)))
+    rows = rows.withColumn(found_, F.concat(long, F.col(names["access"]), F.col(names["hex"])))
+    rows = rows.withColumn(new_, uncovered(F.col(names["random"]), F.col(found_)))
+    found = F.when(F.size(new_) == 0, F.col(found_)).otherwise(F.concat(F.col(found_), tested(F.col(new_), alpha, rate)))
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["word"].alias("word"))))
-    return rows.withColumn("secrets", ordered).drop(*names.values(), "_base", "_new")
+    return rows.withColumn("secrets", ordered).drop(*names.values(), found_, new_)
 
 
 def told(found: Column) -> Column:
