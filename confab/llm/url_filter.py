@@ -6,34 +6,32 @@ Features, training and scores are SQL expressions; the model is a dense weight a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm.secret_scan import let
+from confab.llm.common import let
 
 #: (verdict, host and path) of the contract; the longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 SIZES = (3, 4, 5)
 BUCKETS = 4096
-EPOCHS = 80
-RATE = 20.0
+EPOCHS = 200
+#: Steps of the weights and of the bias. Rows have length 1 beside the bias, so that these lie below what full-batch descent on the log loss stays stable at.
+RATE, BIAS_RATE = 12.0, 2.0
 DECAY = 0.0002
 #: The labelled table is fitted whole and must stay this small: it becomes one row of arrays.
 MAX_LABELLED = 2000
 
-#: Words of the small labelled table (fixed values), for hosts and paths that are blocked and allowed.
-BLOCKED_HOSTS = ("spam-farm", "casino-bonus", "cheap-pills", "free-movies", "click-bait", "adult-cams", "loan-shark", "fake-watches")
-BLOCKED_PATHS = ("/win/prize", "/buy-now/discount", "/cheap/viagra", "/xxx/live", "/free/download-crack", "/bet/jackpot")
-ALLOWED_HOSTS = ("library", "university", "news", "museum", "docs", "journal", "weather", "recipes", "blog.garden", "m.travel", "www.science")
-ALLOWED_PATHS = ("/en/123", "/de/48.html", "/fr/907/", "/es/311", "/articles/history", "/guide/intro", "/about", "/2021/05/post")
+#: The small labelled table: a url and its label (1: block) a line.
+LABELLED = Path(__file__).with_name("labelled_urls.tsv")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block): blocked hosts with every path, allowed hosts with allowed paths."""
-    rows = [(f"http://{h}.example.{top}{p}", 1) for i, h in enumerate(BLOCKED_HOSTS) for j, p in enumerate(BLOCKED_PATHS + ALLOWED_PATHS[:4]) for top in [("com", "net", "org")[(i + j) % 3]]]
-    rows += [(f"https://{h}.example.{top}{p}", 0) for i, h in enumerate(ALLOWED_HOSTS) for j, p in enumerate(ALLOWED_PATHS) for top in [("com", "net", "org")[(i + j) % 3]]]
-    values = ", ".join(f"('{url}', {label})" for url, label in rows)
+def labelled_urls(spark: SparkSession, path: Path = LABELLED) -> DataFrame:
+    """url, label (1: block) of the labelled table, read on the driver."""
+    rows = [line.split("\t") for line in path.read_text().splitlines()]
+    values = ", ".join(f"('{url}', {int(label)})" for url, label in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
 
 
@@ -99,7 +97,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[flo
             scaled = F.zip_with(e, F.col("rows"), lambda x, r: x / F.sqrt(F.size(r["f"]).cast("double")))
             return let(scaled, lambda g: F.struct(
                 F.zip_with(w["w"], F.col("holders"), lambda x, own: x * (1.0 - RATE * DECAY) - RATE * F.aggregate(own, F.lit(0.0), lambda s, i: s + F.get(g, i))).alias("w"),
-                (w["b"] - RATE * F.aggregate(e, F.lit(0.0), lambda s, x: s + x)).alias("b"),
+                (w["b"] - BIAS_RATE * F.aggregate(e, F.lit(0.0), lambda s, x: s + x)).alias("b"),
             ))
 
         return let(errors, moved)
