@@ -96,4 +96,17 @@ gone AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 20)))) AS g FROM
 kept AS (SELECT w.doc_id, l, coalesce(g, []) AS g FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, len(l)::bigint AS n_words, len(g)::bigint AS n_removed,
   sha256(array_to_string(CASE WHEN len(g) = 0 THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256 FROM kept""",
+    "op8_sharding": """WITH RECURSIVE steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::bigint, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS MATERIALIZED (SELECT r, doc_id, strlen(text) + 1 AS size, xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(text) + 1),
+    lambda i: (16 * (position(substr(h, 2 * i - 1, 1) IN '0123456789ABCDEF') - 1) + position(substr(h, 2 * i, 1) IN '0123456789ABCDEF') - 1)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc FROM d, steps),
+jumps(r, n, k, b, j) AS (
+  SELECT r, n, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 16))::ubigint::hugeint, -1::bigint, 0::bigint FROM d, (VALUES (16), (17)) s(n)
+  UNION ALL SELECT r, n, k2, j, floor((j + 1)::double * (2147483648.0::double / ((k2 // 8589934592) + 1)::double))::bigint
+  FROM (SELECT *, (k * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint AS k2 FROM jumps WHERE j < n)),
+placed AS (SELECT r, max(b) FILTER (n = 16) AS shard, max(b) FILTER (n = 17) AS grown FROM jumps WHERE j >= n GROUP BY r)
+SELECT doc_id, size::bigint AS size, crc AS text_crc32, 'key' AS law, shard::int AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::varchar, '') || ':' || crc), doc_id) - 1)::bigint AS slot, grown::int AS grown_shard
+FROM sums JOIN placed USING (r)""",
 }

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,8 +244,9 @@ def test_random_tokens(spark):
     assert all(found[k] >= least for k, (_, _, least) in kinds.items()) and found["plain"] == 0
 
 
-def test_tokens(spark, awkward, empty, tmp_path):
-    encode = token_count.encoding(token_count.VOCABULARY).encode_ordinary
+def test_tokens(spark, awkward, empty, tmp_path, monkeypatch):
+    encode = token_count.encoding(Path(token_count.VOCABULARY).read_bytes()).encode_ordinary
+    monkeypatch.setattr(token_count, "SPAN", 5)
     assert counted(token_count.count_tokens(awkward, block=7), "doc_id", "n_tokens") == Counter((i, len(encode(t or ""))) for i, t in AWKWARD)
     assert token_count.count_tokens(empty).count() == 0
     import numpy as np
@@ -253,8 +255,11 @@ def test_tokens(spark, awkward, empty, tmp_path):
     flat = [x for d in docs for x in [*d, token_count.SEPARATOR]] + [5, 5]
     (tmp_path / "a.bin").write_bytes(np.array(flat, "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_count.document_tokens(token_count.read_token_files(spark, str(tmp_path), block=4)).orderBy("ordinal").collect()
-    assert [(r.ordinal, r.start, r.n_tokens) for r in got] == [(0, 0, 3), (1, 4, 0), (2, 5, 50), (3, 56, 1)]
+    (tmp_path / "c.bin").write_bytes(np.array([7, token_count.SEPARATOR, 7], "<u2").tobytes() + b"x")  # half a token at the end
+    for whole in (token_count.WHOLE, 16):  # whole files, and ranges of all but the small ones
+        files = token_count.read_token_files(spark, str(tmp_path), block=4, whole=whole)
+        got = [(r.file[-5:], r.ordinal, r.start, r.n_tokens) for r in token_count.document_tokens(files).orderBy("file", "ordinal").collect()]
+        assert got == [("a.bin", 0, 0, 3), ("a.bin", 1, 4, 0), ("a.bin", 2, 5, 50), ("a.bin", 3, 56, 1), ("c.bin", 0, 0, 1)]
 
 
 def test_toxicity(spark, awkward, empty):
@@ -384,6 +389,176 @@ def test_sql(spark, sf_dir, name):
     assert_same(QUERIES[name](spark, sf_dir), SQL[name], sf_dir)
 
 
+def brute_leaks(docs, items):
+    """Every window of an item's length, or the whole of a shorter text, against every item."""
+    found = set()
+    own = []
+    for item, text in items:
+        w = words(text.lower())
+        k = min(5, len(w))
+        own.append((item, k, Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))))
+    for doc, text in docs:
+        w = words((text or "").lower())
+        for item, k, grams in own:
+            m, mine = sum(grams.values()), [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+            hit = [g in grams for g in mine]
+            if k and any(hit):
+                width = min(m, len(mine))
+                for at in range(len(mine) - width + 1):
+                    if sum(hit[at : at + width]) >= 0.8 * m / 1.8:  # fewer can't reach the similarity
+                        window = Counter(mine[at : at + width])
+                        if sum((window & grams).values()) >= 0.8 * sum((window | grams).values()):
+                            found.add((doc, item))
+                            break
+    return found
+
+
+def test_leaks_against_all_windows(spark, sf_dir):
+    """Recall and precision of the query by plain search; the documented bound is 0.9."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontamination"](spark, sf_dir).collect()}
+    assert want and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_llr_by_hand(spark, sf_dir):
+    """Scores and verdicts of every row from counts in plain Python."""
+    import math
+
+    from confab.llm.texts import WordHash
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    trusted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()}
+    grams = {i: quality.buckets(WordHash().of((t or "").encode().lower().split())).tolist() for i, t in docs.items()}
+    raw = Counter(g for own in grams.values() for g in own)
+    good = Counter(g for i, own in grams.items() if i in trusted for g in own)
+    size, prior = quality.BUCKETS, quality.PRIOR
+    base = {g: (raw[g] + prior) / (sum(raw.values()) + prior * size) for g in raw}
+    llr = {g: math.log((good[g] + prior * size * base[g]) / (sum(good.values()) + prior * size) / base[g]) for g in raw}
+    for r in QUERIES["op2_quality"](spark, sf_dir).withColumn("x", F.lit(1)).join(quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame([(i,) for i in trusted], "doc_id bigint")).select("doc_id", F.col("llr").alias("again")), "doc_id").collect():
+        want = sum(llr[g] for g in grams[r.doc_id]) / len(grams[r.doc_id]) if grams[r.doc_id] else 0.0
+        assert r.again == pytest.approx(want, abs=1e-9) and r.kept == (not r.base_failed and r.again >= quality.THRESHOLD)
+
+
+def test_machine_by_pairs(spark, sf_dir):
+    """Every score as a weight a term and a product a pair, added up one by one."""
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    machine = toxicity.fit(docs, training_labels(spark, sf_dir))
+    codes, scores = toxicity.Codes(machine.known), {r.doc_id: r.score for r in QUERIES["op6_toxicity"](spark, sf_dir).collect()}
+    for r in docs.limit(60).collect():
+        terms = codes.terms((r.text or "").encode())
+        z = machine.w0 + sum(float(machine.w[t]) for t in terms) + sum(float(machine.v[a] @ machine.v[b]) for i, a in enumerate(terms) for b in terms[:i])
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_taken_from_slots(awkward):
+    """What each row gives is what the slots' blocks hold of it, counted block by block."""
+    mix = mixing.Mix(awkward, block=8)
+    times = Counter((r.src, r.block) for r in mix.slots().collect())
+    assert {s: sum(n for (x, _), n in times.items() if x == s) for s, _ in times} == {r.src: r.quota for r in mix.sources.collect() if r.quota}
+    want = Counter()
+    for r in mix.pieces().collect():
+        want[(r.src, r.start)] += (r.b - r.a) * times[(r.src, r.block)]
+    assert sorted(want.values()) == sorted(r.taken for r in mix.taken().collect() if r["size"])
+
+
+def spark_hash(*parts):
+    import xxhash
+
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_url_scores_by_hand(spark):
+    """Scores from the weights in plain Python; and what the model does with hosts that it wasn't fitted on."""
+    import math
+
+    weights, bias = url_filter.fit(url_filter.labelled_urls(spark))
+    urls = ["http://a.example.com/x", "https://best-casino.example.net/en/1", "nothing", "http://b/", None]
+    rows = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for r in rows:
+        grams = {spark_hash(mark, p[i : i + n]) % url_filter.BUCKETS for mark, part in (("h", r.host), ("p", r.path)) for p in [f"^{part}$"] for n in url_filter.SIZES for i in range(len(p) - n + 1)}
+        z = bias + sum(weights[g] for g in grams) / math.sqrt(max(1, len(grams)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    table = url_filter.labelled_urls(spark)
+    fold = F.pmod(F.xxhash64(url_filter.host_and_path(F.col("url"))[0]), F.lit(4)) == 0
+    held = url_filter.judge(table.filter(fold), labelled=table.filter(~fold)).collect()
+    allowed = [r.score < 0.5 for r in held if r.label == 0]
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in held) >= 0.6 * len(held) and sum(allowed) >= 0.9 * len(allowed)
+
+
+def test_sketch_keeps_its_load(spark):
+    """The share of single windows that pass as repeated doesn't follow the input; a table too small for it only passes more."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, bits in ((20_000, 16), (320_000, 20)):
+        hashes = rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+        known = []
+        for row in range(repeats.DEPTH):
+            at, times = np.unique(repeats.cells(hashes, row, bits).astype(np.int64), return_counts=True)
+            known.append(at[times > 1])
+        assert 0.04 < len(repeats.repeated(hashes, known, bits)) / n < 0.1
+    for at in (np.array([0, 1, 70_000, 70_001, 65_535 * 3]), np.array([65_535]), np.array([], np.int64)):
+        at = np.sort(at)
+        assert repeats.heard(repeats.told(at)).tolist() == at.tolist()
+
+
+def test_long_rows(spark):
+    """A long run of one letter and many spans cost what their lengths do."""
+    import time
+
+    rows = [(1, "a" * 1_000_000), (2, "aB3d" * 50_000), (3, " ".join(f"token={i:08d}ab" for i in range(100_000)))]
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_hex, got[1].spans, got[3].n_assign) == (1, "hex:0:1000000", 100_000) and got[3].spans.endswith(f"assign:{17 * 99_999}:{17 * 99_999 + 16}")
+
+
+INTERNAL = ["score", "secrets", "_rk", "_text", "_r", "_take", "_bucket", "_own", "_in", "_rank", "_missing", "_key", "_start", "_n", "_size", "_parts", "_h", "doc", "part", "llr", "host"]
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    """Every stage on rows that have all the internal names, and one doc_id with two texts, finds the columns unchanged."""
+    import corpus_pipeline
+
+    bench = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(1).collect()]
+    rows = [(i, t, "en", f"s{i % 2 if i else 0}", len(t or "")) for i, t in [*AWKWARD, (20, "other text " + " ".join(f"k{j}" for j in range(30))), (20, BASE + " end"), (21, bench[0])]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in INTERNAL])
+    known = set(counted(docs.drop("text", "n_chars"), "*"))
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, sf_dir)
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            kept = counted(out.select(docs.columns).drop("text", "n_chars"), "*")
+            assert set(kept) <= known and bool(kept) == (some is docs), name
+        if name == "ngram_jaccard_join":
+            left = Counter(r.text for r in stage(spark, docs, sf_dir).filter("doc_id = 20").collect())
+            assert left == Counter([rows[-3][1]])  # the near copy goes though its id also has another text
+
+
+def test_run(spark, sf_dir):
+    """The whole pipeline twice: the same rows, whole slots, and what is kept follows from the stages' own operators."""
+    import corpus_pipeline
+
+    cols = ("doc_id", "text", "lang", "source", "n_chars", "shard", "slot")
+    first, again = (corpus_pipeline.run(spark, sf_dir) for _ in range(2))
+    assert counted(first.drop("slot"), *cols[:-1]) == counted(again.drop("slot"), *cols[:-1])
+    rows = first.collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert all(r.text == texts[r.doc_id] or set(words(r.text)) <= set(words(texts[r.doc_id])) for r in rows)
+    leaks = {r.doc_id for r in QUERIES["op1_decontamination"](spark, sf_dir).collect()}
+    toxic = {r.doc_id for r in QUERIES["op6_toxicity"](spark, sf_dir).filter("predicted = 1").collect()}
+    assert rows and not {r.doc_id for r in rows} & (leaks | toxic)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
