@@ -41,11 +41,10 @@ def _counted(batches: Iterator[pa.RecordBatch], trusted) -> Iterator[pa.RecordBa
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64())
         marked = np.isin(ids.fill_null(0).to_numpy(), trusted.value) & ids.is_valid().to_numpy(zero_copy_only=False)
-        for text, is_good in zip(texts_of(batch), marked.tolist(), strict=True):
-            counts = np.bincount(buckets(words.of(text.lower().split())).view(np.int64), minlength=BUCKETS)
-            raw += counts
-            if is_good:
-                good += counts
+        own = [buckets(words.of(text.lower().split())).view(np.int64) for text in texts_of(batch)]
+        for total, some in ((raw, own), (good, [x for x, is_good in zip(own, marked.tolist(), strict=True) if is_good])):
+            if some:
+                total += np.bincount(np.concatenate(some), minlength=BUCKETS)
     seen = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(good[seen])], names=["bucket", "raw", "good"])
 
