@@ -98,13 +98,12 @@ class ItemIndex:
             found |= table[(prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)]
         found &= members
         at, lane = np.nonzero(found)
-        for w, k in zip(at.tolist(), lane.tolist(), strict=True):
-            bits = int(found[w, k])
-            while bits:
-                item = k * 64 + (bits & -bits).bit_length() - 1
-                bits &= bits - 1
-                if (int(prints[w]) ^ int(self.prints[item])).bit_count() <= self.radius:
-                    yield w, item
+        for lo in range(0, len(at), STEP):
+            w, k = at[lo : lo + STEP], lane[lo : lo + STEP]
+            i, bit = np.nonzero(np.unpackbits(found[w, k].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            w, items = w[i], k[i] * 64 + bit
+            near = np.bitwise_count(prints[w] ^ self.prints[items]) <= self.radius
+            yield from zip(w[near].tolist(), items[near].tolist(), strict=True)
 
     def _near_windows(self, hashes: np.ndarray, hits: np.ndarray, classes: list[tuple[int, int]], size: int, lo: int) -> Iterator[tuple[int, int, int]]:
         """(width, start, item number) of the candidates among the windows that start in ``lo`` to ``lo`` + STEP and hold a benchmark shingle."""
@@ -131,7 +130,8 @@ class ItemIndex:
             hit = self.filters[size][hashes & np.uint64((1 << FILTER_BITS) - 1)]
             if not hit.any():
                 continue
-            hit[hit] = np.isin(hashes[hit], known)
+            some = hashes[hit]
+            hit[hit] = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
             if not hit.any():
                 continue
             hits = np.r_[0, np.cumsum(hit)]
