@@ -22,10 +22,12 @@ BUCKETS = 1 << 18
 FACTORS = 6
 #: Labelled rows that are fitted on, at most; of more, those that come first by a hash of their id.
 MAX_LABELLED = 8_000
-#: Terms the machine knows: seen in so many labelled documents, and of those the most telling.
+#: Terms the machine knows: seen in so many labelled documents, and of those the most telling, besides what tells in pairs.
 MIN_SEEN, MAX_TERMS = 3, 4096
 #: Chi-squared (one degree of freedom) that a term's tie to the label must reach.
 TELLING = 10.0
+#: The most frequent terms, so many, are also tried in pairs; this chance of any pair that passes without a tie is accepted.
+PAIRED, PAIR_CHANCE = 2048, 0.01
 PREFIX = 5
 EPOCHS, RATE, DECAY = 60, 0.15, 1e-3
 CUT = 0.3
@@ -107,6 +109,37 @@ def telling(seen: np.ndarray, hit: np.ndarray, n: int, pos: float) -> np.ndarray
     return known
 
 
+def frequent(seen: np.ndarray) -> np.ndarray:
+    """The PAIRED buckets that most rows hold, of those seen often enough, in order; the first on ties."""
+    most = np.argsort(-seen, kind="stable")[:PAIRED]
+    return np.sort(most[seen[most] >= MIN_SEEN])
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, size: int, block: int = 512) -> np.ndarray:
+    """Which of the terms 0 to ``size`` (others in ``rows`` are left out) tell something in a pair, whatever they tell alone.
+
+    Rows that hold both terms of a pair should be toxic no more often than those that hold the worse of the two. Chernoff's bound on the chance that
+    they are as often as seen, times the number of pairs, must lie below PAIR_CHANCE. Rows with the same terms count once.
+    """
+    own = {(r[r < size].tobytes(), y): r[r < size] for r, y in zip(rows, labels.tolist(), strict=True)}
+    marks = np.array([y for _, y in own])
+    if size < 2 or not marks.sum():
+        return np.zeros(size, bool)
+    held = np.zeros((len(own), size), np.float32)
+    for i, r in enumerate(own.values()):
+        held[i, r] = 1
+    toxic = held[marks > 0]
+    alone = (toxic.sum(axis=0) + 0.5) / (held.sum(axis=0) + 1.0)
+    best = np.zeros(size)
+    for lo in range(0, size, block):
+        both, hit = held[:, lo : lo + block].T @ held, toxic[:, lo : lo + block].T @ toxic
+        worse, share = np.maximum(alone[lo : lo + block, None], alone), hit / np.maximum(both, 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.nan_to_num(share * np.log(share / worse)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - worse)))
+        best[lo : lo + block] = np.where(share > worse, both * gain, 0.0).max(axis=1)
+    return best >= np.log(size * (size - 1) / 2 / PAIR_CHANCE)
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, seed: int = 7) -> Machine:
     """Adagrad on the log loss with decay, full batch, from small random factors; the same for the same rows (terms that ``known`` names) in the same order."""
     n, pos, terms = len(rows), float(labels.sum()), int(known.max(initial=-1)) + 1
@@ -140,8 +173,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, seed
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine:
     """``labels``: doc_id, toxic (0/1; nulls are skipped, of repeated ids the largest counts). At most ``max_labelled`` of them,
-    broadcast by their id, select the texts, one for each id (of several the least). Terms are counted and chosen in the cluster's
-    partial counts, so that the driver gets a row a bucket and then, for each labelled id, its chosen terms."""
+    broadcast by their id, select the texts, one for each id (of several the least). Terms are counted in the cluster, so that the driver
+    gets a row a bucket and then, for each labelled id, its telling and frequent terms; of the latter those stay that tell something alone or in a pair."""
     named = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
@@ -152,14 +185,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     every = terms < 0
     by_bucket = np.zeros((2, BUCKETS))
     by_bucket[:, terms[~every]] = seen[~every], hit[~every]
-    known = telling(*by_bucket, int(seen[every].sum()), float(hit[every].sum()))
-    held = docs.sparkSession.sparkContext.broadcast(known)
+    known, usual = telling(*by_bucket, int(seen[every].sum()), float(hit[every].sum())), frequent(by_bucket[0])
+    # The frequent terms come first, then the other telling ones.
+    asked = np.r_[usual, np.setdiff1d(np.flatnonzero(known >= 0), usual)]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[asked] = np.arange(len(asked))
+    held = docs.sparkSession.sparkContext.broadcast(place)
     got = rows.mapInArrow(lambda b: _featured(b, held), "toxic double, terms array<int>").toArrow()
     held.destroy()
     scratch.drop(rows)
     lists = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     marks, ends, flat = got.column("toxic").to_numpy(), np.asarray(lists.offsets), np.asarray(lists.values)
     split = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    more = paired(split, marks, len(usual))
+    chosen = np.union1d(np.flatnonzero(known >= 0), usual[more])
+    known = np.full(BUCKETS, -1, np.int32)
+    known[chosen] = np.arange(len(chosen))
+    final = known[asked]
+    split = [np.sort(own[own >= 0]) for own in (final[r] for r in split)]
     # The rows come in no fixed order; the sums are to be the same each time.
     order = sorted(range(len(split)), key=lambda i: (xxh3_64_intdigest(split[i].tobytes()), marks[i]))
     return fit_rows([split[i] for i in order], marks[order] if order else np.zeros(0), known)

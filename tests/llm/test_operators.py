@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,7 +153,6 @@ def test_leaks_of_items_without_id(spark, awkward):
 
 
 def test_index_finds_all_within_radius():
-    import numpy as np
 
     rng = np.random.default_rng(1)
     index = decontaminate.ItemIndex([(i, " ".join(f"t{i}x{j}" for j in range(20)).encode()) for i in range(100)])
@@ -244,7 +246,6 @@ def test_secrets(spark, awkward, empty):
 
 def test_random_tokens(spark):
     """Most tokens drawn at random are found, with few class changes or no digit too; ordinary long words aren't."""
-    import random
 
     rng = random.Random(5)
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -261,7 +262,6 @@ def test_tokens(spark, awkward, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(token_count, "SPAN", 5)
     assert counted(token_count.count_tokens(awkward, block=7), "doc_id", "n_tokens") == Counter((i, len(encode(t or ""))) for i, t in AWKWARD)
     assert token_count.count_tokens(empty).count() == 0
-    import numpy as np
 
     docs = [[1, 2, 3], [], list(range(50)), [9]]
     flat = [x for d in docs for x in [*d, token_count.SEPARATOR]] + [5, 5]
@@ -290,7 +290,6 @@ def test_toxicity(spark, awkward, empty):
 
 def test_interactions():
     """A label that only a pair of terms carries: neither alone is a sign."""
-    import numpy as np
 
     rows, labels = [], []
     for i in range(400):
@@ -304,6 +303,38 @@ def test_interactions():
     assert m.score([int(known[1]), int(known[2])]) > 0.5 > max(m.score([int(known[1])]), m.score([int(known[2])]))
 
 
+def test_terms_that_tell_in_pairs_only(spark):
+    """Two words as frequent in toxic as in other texts, but toxic whenever both occur, among filler."""
+    rng, rows = random.Random(5), []
+    for i in range(1500):
+        own = [f"filler{rng.randrange(300)}" for _ in range(30)]
+        kind = i % 50
+        own += ["zinsult"] * (kind in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)) + ["zgroup"] * (kind in (0, 11, 12, 13, 14, 15, 16, 17, 18, 19))
+        rows.append((i, " ".join(own), int(kind in (0, 21, 22, 23, 24))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "zinsult"), (2, "zgroup"), (3, "zgroup zinsult"), (4, "filler7")], "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(asked, machine).collect()}
+    assert score[3] > 0.5 > toxicity.CUT > max(score[1], score[2], score[4])
+    codes = toxicity.Codes()
+    known = {t for t in range(toxicity.BUCKETS) if machine.known[t] >= 0}
+    assert set(codes.terms(b"zinsult zgroup")) <= known and len(known) <= 8
+    # The chosen pairs are those that the bound admits, counted one by one.
+    sets = [np.array(sorted({rng.randrange(12) for _ in range(5)} | ({3, 4} if i % 9 == 0 else set()))) for i in range(300)]
+    marks = np.array([float(i % 9 == 0 or i % 7 == 0) for i in range(300)])
+    once = {(tuple(r), y) for r, y in zip((s.tolist() for s in sets), marks.tolist(), strict=True)}
+    count = lambda *t: (sum(all(x in r for x in t) for r, _ in once), sum(y for r, y in once if all(x in r for x in t)))
+    want = set()
+    for a in range(12):
+        for b in set(range(12)) - {a}:
+            (n, hit), worse = count(a, b), max((count(t)[1] + 0.5) / (count(t)[0] + 1) for t in (a, b))
+            q = hit / max(1, n)
+            if q > worse:
+                gain = q * math.log(q / worse) + ((1 - q) * math.log((1 - q) / (1 - worse)) if q < 1 else 0)
+                want |= {a} if n * gain >= math.log(12 * 11 / 2 / toxicity.PAIR_CHANCE) else set()
+    assert set(np.flatnonzero(toxicity.paired(sets, marks, 12, 5)).tolist()) == want
+
+
 def brute_targets(sizes, weights):
     t, done = [0.0] * len(sizes), set()
     excess = float(sum(sizes))
@@ -326,7 +357,6 @@ def test_targets():
 
 
 def test_permutation():
-    import numpy as np
 
     for size in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(size), size, 5).tolist()) == list(range(size))
@@ -435,7 +465,6 @@ def test_leaks_against_all_windows(spark, sf_dir):
 
 def test_llr_by_hand(spark, sf_dir):
     """Scores and verdicts of every row from counts in plain Python."""
-    import math
 
     from confab.llm.texts import WordHash
 
@@ -454,7 +483,6 @@ def test_llr_by_hand(spark, sf_dir):
 
 def test_machine_by_pairs(spark, sf_dir):
     """Every score as a weight a term and a product a pair, added up one by one."""
-    import math
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = toxicity.fit(docs, training_labels(spark, sf_dir))
@@ -487,7 +515,6 @@ def spark_hash(*parts):
 
 def test_url_scores_by_hand(spark):
     """Scores from the weights in plain Python; and what the model does with hosts that it wasn't fitted on."""
-    import math
 
     weights, bias = url_filter.fit(url_filter.labelled_urls(spark))
     urls = ["http://a.example.com/x", "https://best-casino.example.net/en/1", "nothing", "http://b/", None]
@@ -505,7 +532,6 @@ def test_url_scores_by_hand(spark):
 
 def test_sketch_keeps_its_load(spark):
     """The share of single windows that pass as repeated doesn't follow the input; a table too small for it only passes more."""
-    import numpy as np
 
     rng = np.random.default_rng(3)
     for n, bits in ((20_000, 16), (320_000, 20)):
