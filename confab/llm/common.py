@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Only for sessions on one machine without spark.checkpoint.dir, that is in tests.
 LOCAL_SHARED = "file:///tmp/confab-shared"
@@ -130,6 +133,33 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def trimmed() -> None:
+    """Gives what this process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, after which the worker gives its memory back: it outlives the task, and idles beside stages that don't need it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trimmed()
+
+    return run
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` as a table, by way of Arrow: createDataFrame of a list runs Python workers on the executors, under a daemon of their own that stays."""
+    struct = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(struct)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), struct)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import Scratch
+from confab.llm.common import Scratch, lean
 
 #: Edges that a partition contracts at a time.
 HELD = 1 << 20
@@ -61,7 +61,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     are skewed. It ends when all parents are roots and every node has one. The tables of a round go with the next one.
     """
     simple = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = scratch.table(simple.mapInArrow(_contracted, "a bigint, b bigint").distinct(), "edges")
+    now = scratch.table(simple.mapInArrow(lean(_contracted), "a bigint, b bigint").distinct(), "edges")
     while True:
         least = scratch.table(now.groupBy("a").agg(F.min("b").alias("m")), "parents")
         single = now.count() == least.count()

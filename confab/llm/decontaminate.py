@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from confab.llm.common import lean
 from confab.llm.texts import WordHash, shingles, texts_of
 
 SHINGLE = 5
@@ -181,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")
-    found = [rows.mapInArrow(lambda b, held=held: _hits(b, held), f"doc_id {kind}, item_id bigint, start_word bigint, similarity double") for held in indexes(benchmark, **options)]
+    found = [rows.mapInArrow(lean(lambda b, held=held: _hits(b, held)), f"doc_id {kind}, item_id bigint, start_word bigint, similarity double") for held in indexes(benchmark, **options)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -201,4 +202,4 @@ def _clean(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordB
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item is found."""
     held = indexes(benchmark, **options)
-    return docs.mapInArrow(lambda b: _clean(b, held), docs.schema)
+    return docs.mapInArrow(lean(lambda b: _clean(b, held)), docs.schema)

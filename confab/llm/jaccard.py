@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from confab.llm.common import Scratch, free_names, groups, text_key
+from confab.llm.common import Scratch, free_names, groups, lean, text_key
 from confab.llm.components import components
 from confab.llm.texts import MIX, WordHash, bitmap, mixed, shingle_set, signed, texts_of
 
@@ -93,7 +93,7 @@ def shingle_order(docs: DataFrame, n: int) -> Order:
     every = max(1, docs.count())
     share = min(1.0, SAMPLE / every)
     rows = docs.select("text") if share == 1 else docs.select("text").sample(False, share, 11)
-    counts = rows.mapInArrow(lambda b: _sampled(b, n), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = rows.mapInArrow(lean(lambda b: _sampled(b, n)), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     got = counts.orderBy(F.desc("n"), "s").limit(MOST).toArrow()
     return Order(got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy(), 1 / share)
 
@@ -396,14 +396,14 @@ def memberships(listed: DataFrame, threshold: float) -> DataFrame:
     """g, node, n, home: the groups in which all nodes meet that share a shingle of their prefixes and could be similar by their sizes."""
     by_shingle = lambda rows: rows.repartition("s").sortWithinPartitions("s")
     counted = by_shingle(listed.filter("counted is not null").select(F.explode("counted").alias("s"), "node"))
-    back = counted.mapInArrow(_counts, "node bigint, s bigint, level int")
+    back = counted.mapInArrow(lean(_counts), "node bigint, s bigint, level int")
     # Those that no other node has come first in the order. They aren't sent back, but they fill the prefix.
     info = listed.filter("counted is not null").select("node", "n", "open", F.size("counted").alias("all")).dropDuplicates(["node"])
     own = Window.partitionBy("node")
     placed = back.withColumns({"place": F.row_number().over(own.orderBy("level", "s")), "shared": F.count(F.lit(1)).over(own)})
     first = placed.join(info, "node").filter(F.col("place") + F.col("all") - F.col("shared") <= F.col("open")).select("s", "node", "n")
     rare = listed.filter("rare is not null").select(F.explode("rare").alias("s"), "node", "n")
-    few = by_shingle(first.unionByName(rare)).mapInArrow(lambda b: _met(b, threshold), "g bigint, node bigint, n bigint, home int")
+    few = by_shingle(first.unionByName(rare)).mapInArrow(lean(lambda b: _met(b, threshold)), "g bigint, node bigint, n bigint, home int")
     # A frequent shingle's members are too many for one place: each band's smallest one is found by partial minima and sent to all of its parts.
     pairs = F.explode(F.arrays_zip(F.col("common").alias("s"), F.col("parts").alias("parts"))).alias("c")
     own = band(F.col("n"), threshold)
@@ -423,7 +423,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     order = spark.sparkContext.broadcast(shingle_order(docs, n))
     kind = dict(docs.dtypes)["doc_id"]
-    listed = scratch.table(rows.mapInArrow(lambda b: _listed(b, order, n, threshold), LISTED.format(kind=kind)), "sets")
+    listed = scratch.table(rows.mapInArrow(lean(lambda b: _listed(b, order, n, threshold)), LISTED.format(kind=kind)), "sets")
     order.destroy()
     first = listed.filter("sig is not null")
 
@@ -432,7 +432,7 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     scratch.drop(members)
     # Partitions may each have brought a node.
     sigs = scratch.table(first.select("node", F.col("sig").alias("load")).join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signatures")
-    screened = lambda left, right: dealt(facing(left, right), sigs).mapInArrow(lambda b: _screened(b, threshold), "g bigint, node bigint")
+    screened = lambda left, right: dealt(facing(left, right), sigs).mapInArrow(lean(lambda b: _screened(b, threshold)), "g bigint, node bigint")
     able = scratch.table(screened(tiles.filter("slice = 0"), tiles).distinct(), "able")
     unmet = scratch.table(tiles.filter("tiles > 0").join(able, ["g", "node"], "left_anti"), "unmet")
     if not unmet.isEmpty():
@@ -444,13 +444,13 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     keys = listed.filter("node is not null").select("node", "key").distinct().join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     bitmap_, bits = wanted_filter(keys)
     marks = None if bitmap_ is None else spark.sparkContext.broadcast(bitmap_)
-    found = rows.select(cell(F.col("key"), bits).alias("cell"), "text").mapInArrow(lambda b: _sets(b, marks, n), "node bigint, load binary")
+    found = rows.select(cell(F.col("key"), bits).alias("cell"), "text").mapInArrow(lean(lambda b: _sets(b, marks, n)), "node bigint, load binary")
     sets = scratch.table(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "able-sets")
     # Groups that share a node become one, so that a set travels once.
     whole = components(able.select(F.col("g").alias("a"), F.col("node").alias("b")), scratch).withColumnRenamed("label", "g")
     loaded = scratch.table(tiled(wanted.join(whole, "node").withColumn("home", F.lit(1)), threshold), "loaded")
     scratch.keep_only(listed, sets, loaded)
-    verified = lambda left, right: dealt(facing(left, right), sets).mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint")
+    verified = lambda left, right: dealt(facing(left, right), sets).mapInArrow(lean(lambda b: _verified(b, threshold)), "a bigint, b bigint")
     tight = scratch.table(verified(loaded.filter("slice = 0"), loaded), "links")
     labels = scratch.table(components(tight, scratch), "labels")
     placed = scratch.table(loaded.filter("tiles > 0").select("g", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
@@ -459,7 +459,9 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     if not apart.isEmpty():
         rest = loaded.join(apart, ["g", "node"])
         again = loaded.withColumn("salt", salt()).join(salted(apart.select("g").distinct()), ["g", "salt"]).drop("salt")
-        labels = scratch.table(components(tight.unionByName(verified(rest, again)), scratch), "labels")
+        # Written first: one task of both comparing and contracting would hold a Python worker for each.
+        more = scratch.table(verified(rest, again), "more")
+        labels = scratch.table(components(tight.unionByName(more), scratch), "labels")
 
     # The least row of each node, then of each component; both by partial minima.
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import free_names, let, rank_key, running
+from confab.llm.common import free_names, lean, let, rank_key, running, small_table
 from confab.llm.texts import mixed
 
 BLOCK = 64
@@ -125,8 +125,8 @@ class Mix:
         lengths = [max(1, min(block, n // LEAST_BLOCKS)) for n in sizes]
         blocks = [-(-n // length) for n, length in zip(sizes, lengths, strict=True)]
         quotas = [min(PASSES * b, max(1, round(t * b / n))) if n and t > 0 else 0 for t, b, n in zip(aims, blocks, sizes, strict=True)]
-        self.sources = spark.createDataFrame(
-            [(i, r["source"], r["n"], t, b, q, w) for i, (r, t, b, q, w) in enumerate(zip(found, aims, blocks, quotas, lengths, strict=True))], "src int, source string, source_size bigint, target double, blocks bigint, quota bigint, length bigint"
+        self.sources = small_table(
+            spark, [(i, r["source"], r["n"], t, b, q, w) for i, (r, t, b, q, w) in enumerate(zip(found, aims, blocks, quotas, lengths, strict=True))], "src int, source string, source_size bigint, target double, blocks bigint, quota bigint, length bigint"
         )
         self.plan = draws(quotas, shards, seed) if found else np.zeros((shards, 0), np.int64)
         self.blocks_of = blocks
@@ -137,13 +137,13 @@ class Mix:
         taken = np.cumsum(self.plan, axis=0) - self.plan
         place = np.cumsum(self.plan, axis=1) - self.plan
         rows = [(j, int(place[j, s]), s, int(taken[j, s]), int(n), self.blocks_of[s]) for j in range(len(self.plan)) for s, n in enumerate(self.plan[j]) if n]
-        plan = spark.createDataFrame(rows, "shard int, slot bigint, src int, first bigint, n bigint, blocks bigint")
+        plan = small_table(spark, rows, "shard int, slot bigint, src int, first bigint, n bigint, blocks bigint")
         runs = plan.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))))
         runs = runs.select("shard", (F.col("slot") + F.col("o")).alias("slot"), "src", (F.col("first") + F.col("o")).alias("first"), F.least(F.col("n") - F.col("o"), F.lit(RUN)).alias("n"), "blocks")
         seed = self.seed
         # The rows are tiny but stand for up to RUN slots each: a task for about so many, which Spark mustn't merge.
         tasks = max(1, -(-int(self.plan.sum()) // RUN))
-        return runs.repartition(tasks, "shard", "src", "first").mapInArrow(lambda b: _slots(b, seed), "shard int, slot bigint, src int, block bigint, round int")
+        return runs.repartition(tasks, "shard", "src", "first").mapInArrow(lean(lambda b: _slots(b, seed)), "shard int, slot bigint, src int, block bigint, round int")
 
     def pieces(self) -> DataFrame:
         """src, block, start (the document's place in its source), doc_id, size, a, b: words a to b (exclusive) of the document lie in the block."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from confab.llm.common import Scratch
+from confab.llm.common import Scratch, lean
 from confab.llm.texts import CACHE, texts_of
 
 BUCKETS = 1 << 18
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(rows, "labelled")
-    counts = rows.mapInArrow(_seen, "term int, n double, pos double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    counts = rows.mapInArrow(lean(_seen), "term int, n double, pos double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
     terms, seen, hit = (counts.column(c).to_numpy() for c in ("term", "n", "pos"))
     every = terms < 0
     by_bucket = np.zeros((2, BUCKETS))
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     place = np.full(BUCKETS, -1, np.int32)
     place[asked] = np.arange(len(asked))
     held = docs.sparkSession.sparkContext.broadcast(place)
-    got = rows.mapInArrow(lambda b: _featured(b, held), "toxic double, terms array<int>").toArrow()
+    got = rows.mapInArrow(lean(lambda b: _featured(b, held)), "toxic double, terms array<int>").toArrow()
     held.destroy()
     scratch.drop(rows)
     lists = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -225,7 +225,7 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
     names = list(keep)
     kinds = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in names)
     rows = docs.select(*names, *([] if "text" in names else ["text"]))
-    return rows.mapInArrow(lambda b: _scored(b, held, names), f"{kinds}, score double")
+    return rows.mapInArrow(lean(lambda b: _scored(b, held, names)), f"{kinds}, score double")
 
 
 def _passed(batches: Iterator[pa.RecordBatch], machine, cut: float) -> Iterator[pa.RecordBatch]:
@@ -237,4 +237,4 @@ def _passed(batches: Iterator[pa.RecordBatch], machine, cut: float) -> Iterator[
 def without_toxic(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below ``cut``; no column is added, so no name can clash."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.mapInArrow(lambda b: _passed(b, held, cut), docs.schema)
+    return docs.mapInArrow(lean(lambda b: _passed(b, held, cut)), docs.schema)

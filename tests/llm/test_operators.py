@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confab.llm import decontaminate, jaccard, mixing, quality, repeats, secret_scan, sharding, token_count, toxicity, url_filter
-from confab.llm.common import Scratch
+from confab.llm.common import Scratch, lean, small_table
 from confab.llm.components import components
 from confab.llm.queries import QUERIES, SQL, training_labels
 
@@ -609,3 +609,58 @@ def test_pipeline(spark, sf_dir):
             leaks = decontaminate.find_leaks(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
             assert now.count() == before.count() - leaks.count() and not now.join(leaks, "doc_id").count()
     assert {"shard", "slot"} <= set(corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).columns)
+
+
+def test_workers_of_tasks(spark, awkward, sf_dir, monkeypatch):
+    """No table of the near duplicates has two Python steps in one task, and the mix makes no rows in Python workers of another kind."""
+    from pyspark.core.rdd import PipelinedRDD
+
+    made, tables, table = [], [], Scratch.table
+    monkeypatch.setattr(PipelinedRDD, "__init__", lambda self, *a, made=made, own=PipelinedRDD.__init__, **k: (made.append(1), own(self, *a, **k))[1])
+    monkeypatch.setattr(Scratch, "table", lambda self, df, tag: (tables.append((tag, df._jdf.queryExecution().executedPlan().toString())), table(self, df, tag))[1])
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    copies = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(20)
+    near = [(10_000 + i, " ".join(f"n{j // 60 if j % 60 else i}x{j}" for j in range(100 + i % 3))) for i in range(30)]
+    jaccard.without_near_duplicates(copies.unionByName(spark.createDataFrame(near, "doc_id bigint, text string")), n=5, threshold=0.8).count()
+    made.clear()
+    assert mixing.mixed_documents(awkward).count() and mixing.Mix(awkward).slots().count()
+    assert not made
+    for tag, plan in tables:
+        depth = []  # of the plan's Python steps since the last exchange above
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            depth = [d for d in depth if d[0] < at]
+            kind = "exchange" if "Exchange" in line else "python" if "MapInArrow" in line else None
+            if kind:
+                assert kind != "python" or not depth or depth[-1][1] != "python", (tag, plan)
+                depth.append((at, kind))
+
+
+def test_small_table(spark):
+    rows = [(1, "a", 2**40, 0.5), (2, None, 0, 1.0)]
+    schema = "src int, source string, n bigint, target double"
+    assert small_table(spark, rows, schema).collect() == spark.createDataFrame(rows, schema).collect()
+    assert small_table(spark, rows, schema).dtypes == spark.createDataFrame(rows, schema).dtypes
+    assert small_table(spark, [], schema).collect() == []
+
+
+def test_lean():
+    """A worker that is done gives its memory back."""
+    import pyarrow as pa
+
+    ended = []
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    run = lean(lambda batches: (b for b in batches))
+    size = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def held(batches):
+        words = [bytes(600) for _ in range(300_000)]
+        keep = [words[i] for i in range(0, len(words), 5000)]
+        ended.append(keep)
+        del words
+        ended.append(size())
+        yield from batches
+
+    assert list(run([batch])) == [batch]
+    assert list(lean(held)([batch])) == [batch]
+    assert size() < ended[1] - 100
